@@ -35,14 +35,14 @@ with recursive rec as (
   select node as u, head as v from rec join heads using (event) where node <> head
   union
   select nullif(lower(trim(left_input_id)), ''), nullif(lower(trim(right_input_id)), '') from match_pair where lower(trim(verdict)) = 'same'
-), both as (
+), ways as (
   select u, v from links where u is not null and v is not null and u <> v
   union
   select v, u from links where u is not null and v is not null and u <> v
 ), reach(node, other) as (
-  select node, node from rec where node in (select u from both)
+  select node, node from rec where node in (select u from ways)
   union
-  select reach.node, both.v from reach join both on both.u = reach.other
+  select reach.node, ways.v from reach join ways on ways.u = reach.other
 ), least as (
   select reach.node, min(rec.input_id) as group_id, count(*) as members from reach join rec on rec.node = reach.other group by reach.node
 )
