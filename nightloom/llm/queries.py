@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from nightloom.llm.bpe import encode_corpus
 from nightloom.llm.components import groups
+from nightloom.llm.places import map_places
 from nightloom.llm.survivors import survivors
 from nightloom.session import table
 
 TRUST = {"time_raw": "time_trust", "coordinate_source": "coord_trust", "shape_normalized": "shape_trust"}
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return map_places(table(spark, sf_dir, "canonical_input"), table(spark, sf_dir, "place_ref"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "compact_record"), table(spark, sf_dir, "match_pair"))
 
@@ -72,5 +77,10 @@ select event_id, field_name, id as canonical_input_id from (
 ) where k = 1
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p7_found": p7_found, "p8_ids": p8_ids}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p7_found": p7_found,
+    "p8_ids": p8_ids,
+}
 SQL: dict[str, str] = {"p3_found": P3_SQL, "p7_found": P7_SQL}
