@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from nightloom.llm.bpe import encode_corpus
 from nightloom.llm.components import groups
+from nightloom.llm.linkage import link
 from nightloom.llm.places import map_places
 from nightloom.llm.survivors import survivors
 from nightloom.session import table
@@ -19,6 +20,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_places(table(spark, sf_dir, "canonical_input"), table(spark, sf_dir, "place_ref"))
 
 
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link(*(table(spark, sf_dir, n) for n in ("compact_record", "compact_partner", "place_ref", "match_pair")))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _links(spark, sf_dir).selectExpr("least(record_id, partner_id) as left_id", "greatest(record_id, partner_id) as right_id")
+
+
+def p2_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _links(spark, sf_dir).select("record_id", "partner_id", "rule", "confidence")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "compact_record"), table(spark, sf_dir, "match_pair"))
 
@@ -79,6 +92,8 @@ select event_id, field_name, id as canonical_input_id from (
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_confidence": p2_confidence,
     "p3_found": p3_found,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
