@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from nightloom.llm.bpe import encode_corpus
 from nightloom.llm.components import groups
+from nightloom.llm.leaks import find_leaks
 from nightloom.llm.linkage import link
 from nightloom.llm.places import map_places
 from nightloom.llm.survivors import survivors
@@ -44,6 +45,10 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
 P3_SQL = r"""
 with recursive rec as (
   select input_id, nullif(lower(trim(input_id)), '') as node, nullif(lower(trim(event_id)), '') as event from compact_record
@@ -97,5 +102,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
+    "p9_found": p9_found,
 }
 SQL: dict[str, str] = {"p3_found": P3_SQL, "p7_found": P7_SQL}
