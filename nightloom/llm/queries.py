@@ -10,6 +10,7 @@ from nightloom.llm.bpe import encode_corpus
 from nightloom.llm.components import groups
 from nightloom.llm.leaks import find_leaks
 from nightloom.llm.linkage import link
+from nightloom.llm.near_duplicates import near_duplicates
 from nightloom.llm.places import map_places
 from nightloom.llm.survivors import survivors
 from nightloom.session import table
@@ -37,6 +38,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "compact_record"), table(spark, sf_dir, "match_pair"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = table(spark, sf_dir, "candidate_feature").selectExpr("canonical_input_id as id", "source_text_key as text")
+    compact = table(spark, sf_dir, "compact_record").selectExpr("input_id as id", "coalesce(nullif(trim(text_normalized), ''), summary) as text")
+    return near_duplicates(features.union(compact))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors(table(spark, sf_dir, "event_provenance"), table(spark, sf_dir, "canonical_input"), table(spark, sf_dir, "source_registry"), TRUST)
 
@@ -100,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_confidence": p2_confidence,
     "p3_found": p3_found,
+    "p5_found": p5_found,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
