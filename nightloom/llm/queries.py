@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from nightloom.llm.abuse import rates, score_documents
 from nightloom.llm.bpe import encode_corpus
 from nightloom.llm.components import groups
 from nightloom.llm.leaks import find_leaks
@@ -56,6 +57,18 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_label"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).where("flagged").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates(_scored(spark, sf_dir))
+
+
 P3_SQL = r"""
 with recursive rec as (
   select input_id, nullif(lower(trim(input_id)), '') as node, nullif(lower(trim(event_id)), '') as event from compact_record
@@ -111,5 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
+    "p10_found": p10_found,
+    "p10_rates": p10_rates,
 }
 SQL: dict[str, str] = {"p3_found": P3_SQL, "p7_found": P7_SQL}
