@@ -185,7 +185,11 @@ def link(records: DataFrame, partners: DataFrame, places: DataFrame, labels: Dat
     confidence = (same + w p) / (labelled + w), with the rule's prior p and
     w = PRIOR_WEIGHT, over the labelled pairs that the rule would join.
     """
-    left, right = cut(features(records, places)), cut(features(partners, places))
+    names = ["input_id", "date_iso", "date_precision", "time_key", "location_text", "location_country_key", "location_region_key", "shape_key", "text_normalized", "summary"]
+    # one pass over both sides; an id on both sides keeps its two rows apart by the mark
+    sides = records.select(*names, F.lit(0).alias("side")).union(partners.select(*names, F.lit(1).alias("side")))
+    every = cut(features(sides.withColumn("input_id", F.concat(F.col("side").cast("string"), "input_id")), places).withColumn("side", F.substring("input_id", 1, 1)).withColumn("input_id", F.expr("substring(input_id, 2)")))
+    left, right = every.where("side = '0'").drop("side"), every.where("side = '1'").drop("side")
     found = None
     rest = right
     for rule in rules:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nightloom.functions.unknown import says_something
-from nightloom.session import BROADCAST_ROWS, bounded_rows, small
+from nightloom.session import BROADCAST_ROWS, bounded_rows, cut, small
 
 #: Entries the reference list may have; it goes to every worker.
 REFERENCE_ROWS = 50_000
@@ -269,9 +269,10 @@ def map_places(records: DataFrame, places: DataFrame) -> DataFrame:
     def tokenise(col: pd.Series) -> pd.Series:
         return col.map(lambda t: sorted(set(name_tokens(fold(t.split(sep)[0])))))
 
-    tokens = texts.select("text", tokenise("text").alias("tokens"))
+    # both are read more than once: the texts' tokens by repair and ranking, the repairs by their count and the join
+    tokens = cut(texts.select("text", tokenise("text").alias("tokens")))
     vocabulary = spark.createDataFrame([(w,) for w in sorted(reference.idf)], "word string")
-    repaired = repair_tokens(tokens.select(F.explode("tokens").alias("token")).distinct(), vocabulary)
+    repaired = cut(repair_tokens(tokens.select(F.explode("tokens").alias("token")).distinct(), vocabulary))
     fixes = (
         tokens.select("text", F.explode("tokens").alias("token"))
         .join(small(repaired, BROADCAST_ROWS), "token")
@@ -291,5 +292,5 @@ def map_places(records: DataFrame, places: DataFrame) -> DataFrame:
                 out.append(place or "none")
             yield pd.DataFrame({"text": b["text"], "place_id": out})
 
-    found = texts.join(fixes, "text", "left").mapInPandas(decide, "text string, place_id string")
+    found = tokens.select("text").join(fixes, "text", "left").mapInPandas(decide, "text string, place_id string")
     return rec.join(found, "text").select("canonical_input_id", "place_id")
