@@ -10,7 +10,9 @@ words themselves decide in the end.
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nightloom.session import small
+from nightloom.session import cut, small
+
+_WORD = re.compile("[a-z0-9]+")
 
 #: Bits of a sketch, in 64-bit words.
 SKETCH_WORDS = 4
@@ -64,12 +68,12 @@ class Signer:
         self.table = np.empty((1024, self.rows * self.bands), np.uint32)
         self.bit = np.empty(1024, np.int64)
 
-    def _numbers(self, text: str) -> list[int]:
+    def _numbers(self, words: list[str]) -> list[int]:
         import xxhash
 
         seen: dict[str, int] = {}
         out = []
-        for w in text.split(" "):
+        for w in words:
             k = seen.get(w, 0)
             seen[w] = k + 1
             i = self.ids.get((w, k))
@@ -84,7 +88,7 @@ class Signer:
             out.append(i)
         return out
 
-    def sign(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def sign(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """keys (n, bands) int64, sketches (n, words) uint64, word counts (n)."""
         if len(self.ids) > VOCABULARY:
             self.clear()
@@ -192,14 +196,14 @@ class Comparer:
 
 
 def shared_words(a: str, b: str) -> float:
-    """Words in common, counted with repetition, by all words of both less those."""
-    x, y = Counter(a.split(" ")), Counter(b.split(" "))
+    """Words of two texts in common, counted with repetition, by all words of both less those."""
+    x, y = Counter(_WORD.findall(a.lower())), Counter(_WORD.findall(b.lower()))
     common = sum((x & y).values())
     return common / (sum(x.values()) + sum(y.values()) - common)
 
 
-def candidate_pairs(reps: DataFrame, threshold: float, texts: int) -> DataFrame:
-    """a, b: numbers of texts (``reps``: number, words) whose sketches allow the threshold."""
+def candidate_pairs(reps: DataFrame, threshold: float, least_words: int, texts: int) -> DataFrame:
+    """a, b: numbers of texts (``reps``: number, text) whose sketches allow the threshold."""
     rows, bands = band_shape(texts, threshold)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,9 +211,13 @@ def candidate_pairs(reps: DataFrame, threshold: float, texts: int) -> DataFrame:
         for batch in batches:
             for part in range(0, batch.num_rows, 2000):
                 b = batch.slice(part, 2000)
-                keys, sketch, count = signer.sign(b.column("words").to_pylist())
-                packed = np.empty(b.num_rows, _PACKED)
-                packed["id"], packed["words"], packed["sketch"] = b.column("number").to_numpy(zero_copy_only=False), count, sketch
+                lists = [_WORD.findall(t.lower()) for t in b.column("text").to_pylist()]
+                fit = np.array([len(x) >= least_words for x in lists], bool)
+                if not fit.any():
+                    continue
+                keys, sketch, count = signer.sign([x for x, y in zip(lists, fit, strict=True) if y])
+                packed = np.empty(len(count), _PACKED)
+                packed["id"], packed["words"], packed["sketch"] = b.column("number").to_numpy(zero_copy_only=False)[fit], count, sketch
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), _binary(np.repeat(packed, bands))], names=["key", "row"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +245,7 @@ def candidate_pairs(reps: DataFrame, threshold: float, texts: int) -> DataFrame:
             got = take(True)
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
-    banded = reps.select("number", "words").mapInArrow(sign, "key long, row binary")
+    banded = reps.select("number", "text").mapInArrow(sign, "key long, row binary")
     return banded.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -251,26 +259,38 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.7, least_words: int =
     text before any comparison and expanded at the very end. A pair exactly at the
     threshold is missed with a chance of MISS (fewer the more alike it is).
     """
-    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)
-    bags = docs.where("id is not null and text is not null").select("id", F.array_sort(tokens).alias("bag")).where(F.size("bag") >= least_words).select("id", F.array_join("bag", " ").alias("words"))
-    members = bags.select("id", F.md5("words").alias("copy")).distinct()
+    docs = docs.where("id is not null and text is not null").select("id", "text")
+
+    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, copies = [], []
+            for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                words = _WORD.findall(t.lower())
+                if len(words) >= least_words:
+                    words.sort()
+                    ids.append(i)
+                    copies.append(hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(copies, pa.binary())], names=["id", "copy"])
+
+    members = cut(docs.mapInArrow(bag, "id string, copy binary").distinct())
     heads = members.groupBy("copy").agg(F.min("id").alias("head"), F.count("*").alias("copies"))
     texts = heads.count()
-    # only texts with copies need their representative looked up
-    copied = members.join(heads.where("copies > 1"), "copy").select("id", "head")
-    spare = copied.where("id <> head").select("id")
-    reps = bags.join(spare, "id", "left_anti").dropDuplicates(["id"]).withColumn("number", F.xxhash64("id"))
-    pairs = candidate_pairs(reps, threshold, texts)
+    copied = cut(members.join(heads.where("copies > 1"), "copy").select("id", "head").distinct())
+    spare = copied.where("id <> head").select("id").distinct()
+    reps = docs.join(small(spare), "id", "left_anti").select(F.xxhash64("id").alias("number"), "id", "text")
+    pairs = cut(candidate_pairs(reps, threshold, least_words, texts))
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([shared_words(x, y) >= threshold - 1e-12 for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    one = reps.select(F.col("number").alias("a"), F.col("id").alias("id_a"), F.col("words").alias("words_a"))
-    two = reps.select(F.col("number").alias("b"), F.col("id").alias("id_b"), F.col("words").alias("words_b"))
-    sure = pairs.join(one, "a").join(two, "b").where(alike("words_a", "words_b")).select("id_a", "id_b")
+    # only the texts that occur in a pair are moved
+    needed = reps.join(small(pairs.selectExpr("explode(array(a, b)) as number").distinct()), "number", "left_semi")
+    one = needed.select(F.col("number").alias("a"), F.col("id").alias("id_a"), F.col("text").alias("text_a"))
+    two = needed.select(F.col("number").alias("b"), F.col("id").alias("id_b"), F.col("text").alias("text_b"))
+    sure = pairs.join(one, "a").join(two, "b").where(alike("text_a", "text_b")).select("id_a", "id_b")
     group = small(copied)
     left = sure.join(group.select(F.col("head").alias("id_a"), F.col("id").alias("x")), "id_a", "left").select(F.coalesce("x", "id_a").alias("x"), "id_b")
     both = left.join(group.select(F.col("head").alias("id_b"), F.col("id").alias("y")), "id_b", "left").select("x", F.coalesce("y", "id_b").alias("y"))
     equal = copied.select("head", F.col("id").alias("x")).join(copied.select("head", F.col("id").alias("y")), "head").where("x < y").select("x", "y")
-    return both.union(equal).select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id")).distinct()
+    return both.union(equal).where("x <> y").select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id")).distinct()
