@@ -149,8 +149,8 @@ def moon_phase_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_dedupe_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.trim("text").alias("t"))
-    key = F.when(F.col("t") != "", F.sha1("t"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.col("text").alias("t"))
+    key = F.when(~F.col("t").rlike(r"^\s*$"), F.sha1("t"))
     return dedupe.exact_dedupe(d, key, F.struct(F.length("t").alias("n"), F.col("id").alias("i")), ["id", "source"]).select("id", "source", "members")
 
 
@@ -277,7 +277,7 @@ SQL = {
     "viewport_clusters": f"with {REPORTS_SQL}, p as (select event_id, cast(floor((lon + 180) / 360 * 2048 / 40) as bigint) as gx, radians(greatest(-85.05112878, least(85.05112878, lat))) as phi from reports where lat is not null) select gx, cast(floor((1 - ln(tan(phi) + 1 / cos(phi)) / 3.141592653589793) / 2 * 2048 / 40) as bigint) as gy, count(*) as n, min(event_id) as representative from p group by 1, 2",
     "calendar_exposure_ratio": _exposure_sql("isodow(day) - 1"),
     "moon_phase_exposure": _exposure_sql("cast(floor((((day - date '1970-01-01') + 0.5 - 10962.759722::double) - 29.530588853::double * floor(((day - date '1970-01-01') + 0.5 - 10962.759722::double) / 29.530588853::double)) / 29.530588853::double * 8 + 0.5) as int) % 8"),
-    "exact_dedupe_fingerprint": "with d as (select doc_id as id, source, trim(text) as t from documents), k as (select *, coalesce(case when t <> '' then sha1(t) end, 'single_' || id) as key from d) select max(id) as id, arg_max(source, id) as source, count(*) as members from k group by key",
+    "exact_dedupe_fingerprint": "with d as (select doc_id as id, source, text as t from documents), k as (select *, coalesce(case when not regexp_matches(t, '^\\s*$') then sha1(t) end, 'single_' || id) as key from d) select max(id) as id, arg_max(source, id) as source, count(*) as members from k group by key",
     "record_fingerprints": f"""with {REPORTS_SQL}, k as (select source, trim(regexp_replace(lower(coalesce(cast(day as varchar), '')), '[^a-z0-9]+', ' ', 'g')) as d, trim(regexp_replace(lower(coalesce(time_raw, '')), '[^a-z0-9]+', ' ', 'g')) as t, trim(regexp_replace(lower(coalesce(location, '')), '[^a-z0-9]+', ' ', 'g')) as l, trim(regexp_replace(lower(coalesce(description, '')), '[^a-z0-9]+', ' ', 'g')) as x from reports)
         select source, count(*) filter (d <> '' and l <> '' and x <> '') as fingerprints, count(distinct case when d <> '' and l <> '' and x <> '' then d || '|' || t || '|' || l || '|' || x end) as distinct_fingerprints from k group by 1""",
     "multi_key_components": """with recursive k as (select input_id as id, 'event' as family, lower(trim(event_id)) as key from compact_record where trim(event_id) <> '' union all select input_id, 'text', text_hash from compact_record where trim(text_hash) <> ''
