@@ -256,7 +256,7 @@ def normalise_instants(records: DataFrame, sources: DataFrame, block: int = 4000
             if known:
                 chain.append((i, known))
         flush()
-        return pd.DataFrame({"canonical_input_id": ids, "utc_seconds": pd.Series(insts, dtype="int64"), "format": forms})
+        return pd.DataFrame({"canonical_input_id": pd.Series(ids, dtype=object), "utc_seconds": pd.Series(insts, dtype="int64"), "format": pd.Series(forms, dtype=object)})
 
     registry = small(sources.where(F.col("source_name").isNotNull()).groupBy("source_name").agg(F.min("date_order").alias("date_order"), F.min("two_digit_from").alias("two_digit_from")))
     number = F.coalesce(F.col("source_row_number"), F.lit(0))

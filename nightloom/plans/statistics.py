@@ -87,7 +87,7 @@ def proportion_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bh_qvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _strata(spark, sf_dir)
     p = s.select("key", "stratum", F.round(stats.two_proportions(F.col("a"), F.col("a_total"), F.col("c"), F.col("c_total"))[1], 6).alias("p"))
-    return _rounded(stats.benjamini_hochberg(p, "p", "key", ["stratum"]))
+    return stats.benjamini_hochberg(p, "p", "key", ["stratum"]).select("key", "stratum", "p", F.round("q", 4).alias("q"))
 
 
 def crosstab_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +206,7 @@ SQL = {
         round(z, 5) as z, round({_P_SQL}, 5) as p from t""",
     "bh_qvalues": f"""with {_STRATA_SQL}, b as (select *, (a + c)::double / (a_total + c_total) as q0 from strata), t as (select key, stratum, coalesce((case when a_total > 0 then a / a_total else 0 end - case when c_total > 0 then c / c_total else 0 end) / nullif(sqrt(q0 * (1 - q0) * (1.0 / nullif(a_total, 0) + 1.0 / nullif(c_total, 0))), 0), 0) as z,
         nullif(sqrt(q0 * (1 - q0) * (1.0 / nullif(a_total, 0) + 1.0 / nullif(c_total, 0))), 0) as se from b), p as (select key, stratum, round(case when se is null then 1 else {_P_SQL} end, 6) as p from t), r as (select *, row_number() over (partition by stratum order by p, key) as k, count(*) over (partition by stratum) as m from p)
-        select key, stratum, round(p, 5) as p, round(least(1.0, min(p * m / k) over (partition by stratum order by p, key rows between current row and unbounded following)), 5) as q from r""",
+        select key, stratum, p, round(least(1.0, min(p * m / k) over (partition by stratum order by p, key rows between current row and unbounded following)), 4) as q from r""",
     "crosstab_residuals": f"""with {REPORTS_SQL}, n as (select precision, craft, source, count(*) as n from reports where craft is not null group by all), r as (select precision, source, sum(n) as r from n group by all), c as (select precision, craft, sum(n) as c from n group by all), t as (select precision, sum(n) as t from n group by all),
         e as (select source, craft, sum(r * c / t) as expected, sum(r * c / t * (1 - r / t) * (1 - c / t)) as variance from r join c on r.precision is not distinct from c.precision join t on r.precision is not distinct from t.precision where r.precision is not null group by all), o as (select source, craft, sum(n) as observed from n group by all)
         select source, craft, round(expected, 4) as expected, round(variance, 4) as variance, coalesce(observed, 0) as observed, round(case when variance > 0 then (coalesce(observed, 0) - expected) / sqrt(variance) end, 4) as residual, round(case when observed > 0 and expected > 0 then log2(observed / expected) end, 4) as log2_ratio from e left join o using (source, craft)""",
