@@ -101,7 +101,11 @@ class Signer:
         while a < len(texts):  # a bounded number of words at a time, at least one text
             b = max(a + 1, int(np.searchsorted(first, first[a] + 60_000)))
             end = len(flat) if b >= len(texts) else first[b]
-            least[a:b] = np.minimum.reduceat(self.table[flat[first[a] : end]], first[a:b] - first[a], axis=0)
+            if b == a + 1:  # one text, in pieces if it is a long one
+                pieces = [self.table[flat[k : min(k + 60_000, end)]].min(axis=0) for k in range(first[a], end, 60_000)]
+                least[a] = np.minimum.reduce(pieces)
+            else:
+                least[a:b] = np.minimum.reduceat(self.table[flat[first[a] : end]], first[a:b] - first[a], axis=0)
             a = b
         key = np.broadcast_to(np.arange(self.bands, dtype=np.uint64) + np.uint64(1), (len(texts), self.bands)).copy()
         for r in range(self.rows):

@@ -184,7 +184,15 @@ class Reference:
                 i += 1
         return out
 
-    def rank(self, tokens: list[str], repaired: dict[str, tuple[str, float]], regions: set[str]) -> tuple[str | None, float]:
+    def hints(self, location: str, state: str, country: str) -> Counter:
+        """How many of the three folded texts name each region; a column's own kind of region goes before the other."""
+        out = Counter(self.regions_in([_BESIDE.sub(" ", location)]))
+        for text, kind in ((state, "s:"), (country, "c:")):
+            found = self.regions_in([text])
+            out.update([x for x in found if x.startswith(kind)] or found)
+        return out
+
+    def rank(self, tokens: list[str], repaired: dict[str, tuple[str, float]], regions: Counter) -> tuple[str | None, float]:
         """The best entry by soft TF-IDF, None where no name is covered or two stay level."""
         have: dict[str, float] = {}
         for t in tokens:
@@ -198,7 +206,7 @@ class Reference:
                 score = sum(self.idf[t] ** 2 * have.get(t, 0.0) for t in name) / whole
                 if score >= NAME_SHARE * min(1.0, max(have[key], 0.8)):
                     _, _, state, country = self.entries[i]
-                    near = self.idf_region[f"s:{state}"] * (f"s:{state}" in regions) + self.idf_region[f"c:{country}"] * (f"c:{country}" in regions)
+                    near = self.idf_region[f"s:{state}"] * regions[f"s:{state}"] + self.idf_region[f"c:{country}"] * regions[f"c:{country}"]
                     best[i] = max(best.get(i, 0.0), score * whole + near)
         if not best:
             return None, 0.0
@@ -288,9 +296,9 @@ def map_places(records: DataFrame, places: DataFrame) -> DataFrame:
                 parts = [fold(p) for p in t.split(sep)]
                 pairs = dict(fixed) if fixed is not None else {}
                 words = {k: (v["word"], v["likeness"]) for k, v in pairs.items()}
-                place, _ = ref.rank(name_tokens(parts[0]), words, ref.regions_in([_BESIDE.sub(" ", parts[0]), *parts[1:]]))
+                place, _ = ref.rank(name_tokens(parts[0]), words, ref.hints(*parts))
                 out.append(place or "none")
-            yield pd.DataFrame({"text": b["text"], "place_id": out})
+            yield pd.DataFrame({"text": b["text"].to_numpy(), "place_id": pd.Series(out, dtype=object)})
 
     found = tokens.select("text").join(fixes, "text", "left").mapInPandas(decide, "text string, place_id string")
     return rec.join(found, "text").select("canonical_input_id", "place_id")
