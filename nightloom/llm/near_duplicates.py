@@ -30,6 +30,8 @@ _WORD = re.compile("[a-z0-9]+")
 SKETCH_WORDS = 4
 #: Rows of a tile.
 TILE = 512
+#: Rows from which a bucket is split: its tiles of so many rows are compared pair by pair in tasks of their own.
+HOT = 8192
 #: Chance that a pair exactly at the threshold shares no band.
 MISS = 1e-3
 #: Likeness of unrelated texts and rows an average bucket may have; with them the rows of a band grow with the logarithm of the corpus.
@@ -117,8 +119,8 @@ class Signer:
         return key.view(np.int64), sketch, count
 
 
-#: A record of the shuffle: text number, word count, sketch.
-_PACKED = np.dtype([("id", "<i8"), ("words", "<i4"), ("sketch", "<u8", SKETCH_WORDS)])
+#: A record of the shuffle: population count (first, so that rows sort by it), word count, text number, sketch.
+_PACKED = np.dtype([("count", ">u2"), ("words", "<i4"), ("id", "<i8"), ("sketch", "<u8", SKETCH_WORDS)])
 
 
 def _binary(packed: np.ndarray) -> pa.Array:
@@ -127,6 +129,14 @@ def _binary(packed: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(packed), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(packed.tobytes())])
 
 
+def _unpacked(column: pa.Array) -> np.ndarray:
+    """The rows of a binary column."""
+    if not len(column):
+        return np.empty(0, _PACKED)
+    start = np.frombuffer(column.buffers()[1], np.int32, 1, offset=4 * column.offset)[0]
+    return np.frombuffer(column.buffers()[2], _PACKED, len(column), offset=start).copy()
+
+
 class Comparer:
     """Pairs of a bucket that may reach the threshold, by exclusive-or and bit counts."""
 
@@ -183,6 +193,19 @@ class Comparer:
                 self.compared += len(a) * len(b)
         return out
 
+    def between(self, a: np.ndarray, b: np.ndarray, same: bool) -> np.ndarray:
+        """Distinct pairs across two tiles of a split bucket, or within one."""
+        if same:
+            out = self.by_tile(a)
+        else:
+            out = [np.empty((0, 2), np.int64)]
+            for i in range(0, len(a), TILE):
+                for j in range(0, len(b), TILE):
+                    p, q = np.nonzero(self._near(a[i : i + TILE, None], b[None, j : j + TILE]))
+                    out.append(np.stack([a["id"][i + p], b["id"][j + q]], axis=1))
+        both = np.sort(np.concatenate([np.empty((0, 2), np.int64), *out]), axis=1)
+        return np.unique(both[both[:, 0] != both[:, 1]], axis=0)
+
     def pairs(self, key: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Distinct pairs (lesser, greater text number) of whole buckets; rows sorted by key."""
         edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
@@ -206,7 +229,7 @@ def shared_words(a: str, b: str) -> float:
     return common / (sum(x.values()) + sum(y.values()) - common)
 
 
-def candidate_pairs(reps: DataFrame, threshold: float, least_words: int, texts: int) -> DataFrame:
+def candidate_pairs(reps: DataFrame, threshold: float, least_words: int, texts: int, hot_rows: int = HOT) -> DataFrame:
     """a, b: numbers of texts (``reps``: number, text) whose sketches allow the threshold."""
     rows, bands = band_shape(texts, threshold)
 
@@ -222,38 +245,84 @@ def candidate_pairs(reps: DataFrame, threshold: float, least_words: int, texts:
                 keys, sketch, count = signer.sign([x for x, y in zip(lists, fit, strict=True) if y])
                 packed = np.empty(len(count), _PACKED)
                 packed["id"], packed["words"], packed["sketch"] = b.column("number").to_numpy(zero_copy_only=False)[fit], count, sketch
+                packed["count"] = np.bitwise_count(sketch).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), _binary(np.repeat(packed, bands))], names=["key", "row"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         comparer = Comparer(threshold)
-        held_keys, held_rows, size = [], [], 0
-
-        def take(last: bool) -> np.ndarray:
-            """Compares the complete buckets held and keeps the open one."""
-            nonlocal held_keys, held_rows, size
-            key, row = np.concatenate(held_keys), np.concatenate(held_rows)
-            end = len(key) if last else int(np.searchsorted(key, key[-1]))
-            held_keys, held_rows, size = [key[end:]], [row[end:]], len(key) - end
-            return comparer.pairs(key[:end], row[:end]) if end else np.empty((0, 2), np.int64)
+        held_keys, held_rows, size = [np.empty(0, np.int64)], [np.empty(0, _PACKED)], 0
+        hot: tuple[int, int] | None = None  # the open bucket's key and rows so far, once it is a hot one
+
+        def out(pairs: np.ndarray, keys: np.ndarray, rows: np.ndarray, first: int = 0) -> pa.RecordBatch:
+            none, n = len(pairs), len(rows)
+            tile = (first + np.arange(n)) // hot_rows
+            columns = [
+                pa.concat_arrays([pa.array(pairs[:, 0]), pa.nulls(n, pa.int64())]), pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(n, pa.int64())]),
+                pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(keys)]), pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(tile)]),
+                pa.concat_arrays([pa.nulls(none, pa.int32()), pa.array(rows["count"].astype(np.int32))]), pa.concat_arrays([pa.nulls(none, pa.int32()), pa.array(rows["words"].astype(np.int32))]),
+                pa.concat_arrays([pa.nulls(none, pa.binary()), _binary(rows)]),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "key", "tile", "count", "words", "row"])
+
+        nothing = np.empty((0, 2), np.int64)
+
+        def settle(key: np.ndarray, row: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Pairs of complete buckets, large ones passed on whole."""
+            edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else np.zeros(1, np.int64)
+            sizes = np.diff(edges)
+            for g in np.flatnonzero(sizes >= hot_rows):
+                yield out(nothing, key[edges[g] : edges[g + 1]], row[edges[g] : edges[g + 1]])
+            rest = np.repeat(sizes < hot_rows, sizes)
+            yield out(comparer.pairs(key[rest], row[rest]), key[:0], row[:0])
 
         for batch in batches:
-            keys = batch.column("key").to_numpy(zero_copy_only=False)
-            column = batch.column("row")
+            keys, rows = batch.column("key").to_numpy(zero_copy_only=False), _unpacked(batch.column("row"))
+            if hot is not None:
+                end = int(np.searchsorted(keys, hot[0], side="right"))
+                yield out(nothing, keys[:end], rows[:end], hot[1])
+                hot = (hot[0], hot[1] + end) if end == len(keys) else None
+                keys, rows = keys[end:], rows[end:]
             held_keys.append(keys)
-            held_rows.append(np.frombuffer(column.buffers()[2], _PACKED, len(column), offset=np.frombuffer(column.buffers()[1], np.int32, 1, offset=4 * column.offset)[0]).copy())
+            held_rows.append(rows)
             size += len(keys)
-            if size >= 150_000:
-                got = take(False)
-                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
-        if size:
-            got = take(True)
-            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+            if size >= 12 * hot_rows:
+                key, row = np.concatenate(held_keys), np.concatenate(held_rows)
+                start = int(np.searchsorted(key, key[-1]))
+                if len(key) - start >= hot_rows:
+                    hot = (int(key[-1]), len(key) - start)
+                    yield out(nothing, key[start:], row[start:])
+                    held_keys, held_rows = [key[:0]], [row[:0]]
+                else:
+                    held_keys, held_rows = [key[start:]], [row[start:]]
+                size = len(held_keys[0])
+                yield from settle(key[:start], row[:start])
+        yield from settle(np.concatenate(held_keys), np.concatenate(held_rows))
+
+    def tiles(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = (np.concatenate([_unpacked(c) for c in t.column("row").chunks]) if t.num_rows else np.empty(0, _PACKED) for t in (left, right))
+        got = Comparer(threshold).between(a, b, same=key[1].as_py() == key[2].as_py())
+        return pa.table({"a": got[:, 0], "b": got[:, 1]})
 
     banded = reps.select("number", "text").mapInArrow(sign, "key long, row binary")
-    return banded.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, threshold: float = 0.7, least_words: int = 20) -> DataFrame:
+    kind = "a long, b long, key long, tile long, count int, words int, row binary"
+    compared = cut(banded.repartition("key").sortWithinPartitions("key", "row").mapInArrow(compare, kind))
+    pairs = compared.where("a is not null").select("a", "b")
+    large = compared.where("key is not null").select("key", "tile", "count", "words", "row")
+    if not large.isEmpty():
+        share = (1 - threshold) / (1 + threshold)
+        stats = large.groupBy("key", "tile").agg(F.min("count").alias("low"), F.max("count").alias("high"), F.max("words").alias("longest"))
+        one, two = (stats.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("tile", "low", "high", "longest")]) for p in "xy")
+        meet = one.join(two, "key").where(f"x_tile <= y_tile and greatest(x_low, y_low) - least(x_high, y_high) <= {share} * (x_longest + y_longest)").select("key", "x_tile", "y_tile")
+        sides = []
+        for p in "xy":
+            names = [f"{p}1", f"{p}2", f"{p}3", "row"]
+            side = large.select("key", F.col("tile").alias(f"{p}_tile"), "row").join(meet, ["key", f"{p}_tile"]).select("key", "x_tile", "y_tile", "row").toDF(*names)
+            sides.append(side.groupBy(*names[:3]))
+        pairs = pairs.union(sides[0].cogroup(sides[1]).applyInArrow(tiles, "a long, b long"))
+    return pairs.distinct()
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.7, least_words: int = 20, hot_rows: int = HOT) -> DataFrame:
     """left_id, right_id: pairs of ids, lesser first, whose texts share at least ``threshold`` of their words.
 
     ``docs``: id, text; words are runs of a-z and 0-9 after lower-casing, counted
@@ -282,7 +351,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.7, least_words: int =
     copied = cut(members.join(heads.where("copies > 1"), "copy").select("id", "head").distinct())
     spare = copied.where("id <> head").select("id").distinct()
     reps = docs.join(small(spare), "id", "left_anti").select(F.xxhash64("id").alias("number"), "id", "text")
-    pairs = cut(candidate_pairs(reps, threshold, least_words, texts))
+    pairs = cut(candidate_pairs(reps, threshold, least_words, texts, hot_rows))
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -46,6 +46,14 @@ def test_against_all_pairs(spark):
     assert len(got) == len(set(got)) and set(got) == brute(rows)
 
 
+def test_hot_bucket_is_split(spark):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(40)]
+    rows = [(f"n{i:03}", " ".join([*rng.sample(base, 38), f"own{i}"])) for i in range(150)] + [(f"m{i:03}", " ".join(rng.choice(base) + str(i) for _ in range(30))) for i in range(50)]
+    df = spark.createDataFrame([(*r, "", "", 0, "") for r in rows], SCHEMA).coalesce(1)
+    assert {tuple(r) for r in near_duplicates(df, hot_rows=4).collect()} == brute(rows)
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
