@@ -109,7 +109,7 @@ def clip_segments(segs: DataFrame, lat: float, lon: float, km: float) -> DataFra
         return pd.DataFrame({"enter": np.where(fine, low, np.nan), "leave": np.where(fine, high, np.nan)})
 
     got = segs.withColumn("_p", part("from_lat", "from_lon", "to_lat", "to_lon"))
-    return got.where("not isnan(_p.enter)").select(*segs.columns, "_p.enter", "_p.leave")
+    return got.where("_p.enter is not null and not isnan(_p.enter)").select(*segs.columns, "_p.enter", "_p.leave")
 
 
 def year_controls(left: DataFrame, right: DataFrame, days: int, km: float, size: float, first: str, last: str) -> DataFrame:
