@@ -11,7 +11,7 @@ from nightloom.operators.predicates import Filters
 from nightloom.plans.application import Catalogue
 from nightloom.plans.base import REPORTS_SQL, reports, stream_events
 from nightloom.plans.spatial import _ORDERS_SQL, _segs
-from nightloom.plans.statistics import _rounded
+from nightloom.plans.statistics import _L1, _L2, _P_SQL, _U1, _U2, _rounded
 from nightloom.plans.texts import _ONE
 from nightloom.session import table
 
@@ -72,6 +72,12 @@ SQL = {
     "evidence_atlas": f"""with {_ATLAS}, r as (select axis, row, count(*) filter (state = 'supported') as total, count(*) filter (state = 'unknown') as missing from t where row is not null group by 1, 2), s as (select axis, row, source, count(*) as st from t where state = 'supported' group by 1, 2, 3), k as (select axis, row, count(*) as sources from s group by 1, 2),
         c as (select axis, row, v, source, count(*) as n from t where state = 'supported' and row is not null group by 1, 2, 3, 4), b as (select axis, row, v, sum(n) as n, sum(n / st) as sh from c join s using (axis, row, source) group by 1, 2, 3)
         select axis, row, v as column, n, round(n / total, 5) as row_share, round(sh / sources, 5) as balanced_share, round(n / (total + missing), 5) as low, round((n + missing) / (total + missing), 5) as high from b join r using (axis, row) join k using (axis, row)""",
+    "catalogue_analysis": f"""with {REPORTS_SQL}, s as (select source, craft, coalesce(day between date '2000-01-01' and date '2009-12-31', false) as x, day is not null and not (day between date '2000-01-01' and date '2009-12-31') as y from reports), l as (select 'source' as family, coalesce(source, 'unknown') as key, x, y from s union all select 'legend', coalesce(craft, 'unknown'), x, y from s),
+        n as (select family, key, (count(*) filter (x))::double as a, (count(*) filter (y))::double as c from l group by 1, 2 having count(*) filter (x or y) > 0), t as (select *, sum(a) over (partition by family) as a_total, sum(c) over (partition by family) as c_total from n),
+        i as (select *, {_L1} as l1, {_U1} as u1, {_L2} as l2, {_U2} as u2, a / a_total as p1, c / c_total as p2, (a + c) / (a_total + c_total) as q0 from t), z as (select *, coalesce((p1 - p2) / nullif(sqrt(q0 * (1 - q0) * (1 / a_total + 1 / c_total)), 0), 0) as z from i), p as (select *, {_P_SQL} as p from z),
+        r as (select *, row_number() over (partition by family order by p, key) as k, count(*) over (partition by family) as m from p)
+        select family, key, a, c, round(p1, 4) as active_share, round(p2, 4) as reference_share, round(greatest(p1 - p2 - sqrt(pow(p1 - l1, 2) + pow(u2 - p2, 2)), -1), 4) as lower, round(least(p1 - p2 + sqrt(pow(u1 - p1, 2) + pow(p2 - l2, 2)), 1), 4) as upper, round(p, 4) as p,
+        round(least(1.0, min(p * m / k) over (partition by family order by p, key rows between current row and unbounded following)), 4) as q from r""",
     "atlas_states": f"with {_ATLAS} select axis, state, count(*) as n from t group by 1, 2",
     "clock_assessment": f"""with {_ONE}, t as (select source_name, regexp_replace(lower(trim(time_raw)), '^(?:at|approx\\.?|about)\\s+|\\s*(?:hrs|hours)$', '', 'g') as x from c),
         p as (select *, regexp_extract(x, '^(\\d{{1,2}})[:h](\\d{{2}})(?::\\d{{2}}(?:\\.\\d+)?)?$', ['h', 'm']) as a, regexp_extract(x, '^(\\d{{2}})(\\d{{2}})$', ['h', 'm']) as b, regexp_extract(x, '^(\\d{{1,2}})(?:[:.](\\d{{2}}))?\\s*([ap])\\.?m\\.?$', ['h', 'm', 'p']) as d from t),

@@ -84,7 +84,7 @@ def coordinate_piles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rehydrated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "event_provenance").select("event_id", "canonical_input_id").distinct()
+    p = table(spark, sf_dir, "event_provenance").select("event_id", "canonical_input_id").dropna().distinct()
     r = reports(spark, sf_dir).select(F.col("event_id").alias("canonical_input_id"), "lat", "lon", F.struct((F.col("coordinate_source") == "source_coordinates").alias("own"), F.col("event_id").alias("i")).alias("rank"))
     heads = p.groupBy("event_id").agg(F.min("canonical_input_id").alias("canonical_input_id")).join(r.drop("rank"), "canonical_input_id")
     got = review.rehydrate(heads, p.join(r, "canonical_input_id"), "event_id")
@@ -132,6 +132,8 @@ SQL = {
         g as (select family, key, count(*) as n from k where trim(key) <> '' group by 1, 2 having count(*) > 1) select family, count(*) as groups, sum(n) as records, sum(n - 1) as removable from g group by 1""",
     "lanes_apart": """with c as (select o_orderkey as k, (o_orderkey % 2 = 0)::int + (o_orderkey % 3 = 0)::int + (o_orderkey % 5 = 0)::int as lanes from orders) select case when lanes > 1 then -1 when k % 2 = 0 then 0 when k % 3 = 0 then 1 else 2 end as lane, count(*) as n from c where lanes > 0 group by 1""",
     "coordinate_piles": f"with {REPORTS_SQL} select round(lat, 1) as lat, round(lon, 1) as lon, count(*) as n from reports where lat is not null group by 1, 2 having count(*) >= 10",
+    "rehydrated_events": f"""with {REPORTS_SQL}, p as (select distinct event_id as e, canonical_input_id as id from event_provenance where event_id is not null and canonical_input_id is not null), h as (select e, min(id) as id from p group by 1), b as (select e, count(lat) as n from p join reports r on r.event_id = p.id group by 1)
+        select r.lat is null and coalesce(b.n, 0) > 0 as rehydrated, count(*) as n, count(*) filter (r.lat is not null or b.n > 0) as mapped from h join reports r on r.event_id = h.id left join b using (e) group by 1""",
     "gram_search": "select doc_id from documents where contains(lower(text), 'grass lay')",
     "fragment_hits": r"with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')) as token from documents) select f as fragment, count(distinct doc_id) as n from t, (values ('light'), ('horse'), ('ing')) v(f) where contains(token, f) group by 1",
     "place_zones": f"""with {REPORTS_SQL}, a(alias, kind, zone) as (values ('arizona', 'state', 'America/Phoenix'), ('az', 'state', 'America/Phoenix'), ('texas', 'state', 'America/Chicago'), ('usa', 'country', 'America/New_York'), ('norway', 'country', 'Europe/Oslo')),

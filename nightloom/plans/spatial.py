@@ -275,6 +275,9 @@ SQL = {
         v as (select trace_id, id, sqrt(pow(ax + f * (bx - ax), 2) + pow(ay + f * (b_y - ay), 2)) as km from u) select distinct trace_id, id, round(km, 4) as km from v where km <= 40""",
     "equal_area_grid_counts": f"with {REPORTS_SQL} select 'ea12x24:' || greatest(0, least(11, cast(floor((sin(radians(lat)) + 1) / 2 * 12) as bigint))) || ':' || greatest(0, least(23, cast(floor(((case when lon = 180 then -180 else lon end) + 180) / 360 * 24) as bigint))) as cell, count(*) as n from reports where lat is not null group by 1",
     "viewport_clusters": f"with {REPORTS_SQL}, p as (select event_id, cast(floor((lon + 180) / 360 * 2048 / 40) as bigint) as gx, radians(greatest(-85.05112878, least(85.05112878, lat))) as phi from reports where lat is not null) select gx, cast(floor((1 - ln(tan(phi) + 1 / cos(phi)) / 3.141592653589793) / 2 * 2048 / 40) as bigint) as gy, count(*) as n, min(event_id) as representative from p group by 1, 2",
+    "sunset_minutes": f"""with {EVENTS_SQL}, g as (select event_id, lat, lon, 2 * 3.141592653589793 / 365 * (dayofyear(day) - 1) as g, radians(lat) as phi from ev), e as (select *, 229.18 * (0.000075 + 0.001868 * cos(g) - 0.032077 * sin(g) - 0.014615 * cos(2 * g) - 0.040849 * sin(2 * g)) as eq,
+        0.006918 - 0.399912 * cos(g) + 0.070257 * sin(g) - 0.006758 * cos(2 * g) + 0.000907 * sin(2 * g) - 0.002697 * cos(3 * g) + 0.00148 * sin(3 * g) as dec from g), h as (select *, cos(radians(90.833)) / (cos(phi) * cos(dec)) - tan(phi) * tan(dec) as c from e),
+        m as (select event_id, 720 - 4 * (lon - degrees(acos(case when abs(c) <= 1 then c end))) - eq as m from h) select event_id, round(m - 1440 * floor(m / 1440), 3) as sunset from m""",
     "calendar_exposure_ratio": _exposure_sql("isodow(day) - 1"),
     "moon_phase_exposure": _exposure_sql("cast(floor((((day - date '1970-01-01') + 0.5 - 10962.759722::double) - 29.530588853::double * floor(((day - date '1970-01-01') + 0.5 - 10962.759722::double) / 29.530588853::double)) / 29.530588853::double * 8 + 0.5) as int) % 8"),
     "exact_dedupe_fingerprint": "with d as (select doc_id as id, source, text as t from documents), k as (select *, coalesce(case when not regexp_matches(t, '^\\s*$') then sha1(t) end, 'single_' || id) as key from d) select max(id) as id, arg_max(source, id) as source, count(*) as members from k group by key",

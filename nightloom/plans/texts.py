@@ -175,6 +175,12 @@ SQL = {
     "tumbling_1d": f"with {EVENTS_SQL} select day as start, type, count(*) as n from ev group by 1, 2",
     "sliding_7d_1d": f"with {EVENTS_SQL} select day - o::int as start, count(*) as n from ev, range(7) t(o) group by 1",
     "session_30m": f"with {EVENTS_SQL}, l as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as fresh from ev), g as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as s from l) select user_id, cast(floor(epoch(min(ts))) as bigint) as start, count(*) as n from g group by user_id, s",
+    "stream_tumbling": "select cast(ts as date) as start, event_type, count(*) as n from events where cast(ts as date) + 1 <= (select max(ts) - interval 1 hour from events) group by 1, 2",
+    "local_times": """with t as (select o_orderkey, o_orderdate + interval 30 minute as at_local from orders) select o_orderkey, timezone('UTC', timezone('America/New_York', at_local)) as utc,
+        case when timezone('America/New_York', timezone('America/New_York', at_local)) <> at_local then 'missing' else 'exact' end as state from t""",
+    "text_coordinates": f"""with {_ONE}, p as (select canonical_input_id, regexp_extract(location_raw, '(-?\\d{{1,2}}\\.\\d+)\\s*[,; ]\\s*(-?\\d{{1,3}}\\.\\d+)', ['a', 'b']) as d, regexp_extract(location_raw, '(\\d{{1,2}}(?:\\.\\d+)?)\\s*°?\\s*([NS])[,;\\s]+(\\d{{1,3}}(?:\\.\\d+)?)\\s*°?\\s*([EW])', ['a', 's', 'b', 'w']) as h from c),
+        n as (select canonical_input_id, coalesce(try_cast(nullif(h.a, '') as double) * case h.s when 'S' then -1 else 1 end, try_cast(nullif(d.a, '') as double)) as lat, coalesce(try_cast(nullif(h.b, '') as double) * case h.w when 'W' then -1 else 1 end, try_cast(nullif(d.b, '') as double)) as lon from p)
+        select * from n where abs(lat) <= 90 and abs(lon) <= 180""",
     "stream_deduplicated": "select event_type, count(*) as n from events group by 1",
     "chunked_manifest": "select count(*) as rows, min(o_orderkey) as first, max(o_orderkey) as last, true as bounded from orders",
     "json_round_trip": "select n_nationkey, n_name, n_regionkey from nation",
