@@ -82,18 +82,12 @@ def features(records: DataFrame, places: DataFrame) -> DataFrame:
     A text's facts are its minutes, number of witnesses and first colour; a
     missing text, time, shape or date leaves its attribute null or empty.
     """
-    rec = records.where("input_id is not null").select(
-        "input_id", "date_iso", "date_precision", "time_key", "location_text", "location_country_key", "location_region_key", "shape_key",
-        F.lower(F.coalesce(F.when(F.trim("text_normalized") != "", F.col("text_normalized")), F.col("summary"), F.lit(""))).alias("text"),
-    ).dropDuplicates(["input_id"])
-    at = map_places(rec.selectExpr("input_id as canonical_input_id", "location_text as location_raw", "location_region_key as state_province", "location_country_key as country"), places)
-    rec = rec.join(at.selectExpr("canonical_input_id as input_id", "place_id"), "input_id", "left")
-    head = F.substring("text", 1, 200)
-    minutes = F.regexp_extract(head, r"\b(\d{1,4})\s*min", 1)
+    text = F.lower(F.coalesce(F.when(F.trim("text_normalized") != "", F.col("text_normalized")), F.col("summary"), F.lit("")))
+    minutes = F.regexp_extract("text", r"\b(\d{1,4})\s*min", 1)
     count = rf"(\d{{1,3}}|{'|'.join(NUMBERS.split())})"
-    number = F.coalesce(F.nullif(F.regexp_extract(head, rf"\b{count}\s+(?:people|persons|witnesses)\b", 1), F.lit("")), F.nullif(F.regexp_extract(head, rf"\bwitnesses:?\s+{count}\b", 1), F.lit("")))
+    number = F.coalesce(F.nullif(F.regexp_extract("text", rf"\b{count}\s+(?:people|persons|witnesses)\b", 1), F.lit("")), F.nullif(F.regexp_extract("text", rf"\bwitnesses:?\s+{count}\b", 1), F.lit("")))
     number = _lookup(number, {w: str(i + 1) for i, w in enumerate(NUMBERS.split())})
-    colour = F.regexp_extract(F.substring("text", 1, 90), rf"\b({'|'.join(COLOURS.split())})\b", 1)
+    colour = F.regexp_extract("text", rf"\b({'|'.join(COLOURS.split())})\b", 1)
     short = {s: long for long, shorts in STREETS.items() for s in shorts.split()}
     kinds = "|".join([*STREETS, *short])
     where = F.lower(F.coalesce(F.col("location_text"), F.lit("")))
@@ -102,9 +96,9 @@ def features(records: DataFrame, places: DataFrame) -> DataFrame:
     date = F.when(F.col("date_iso").rlike(r"^\d{4}-\d\d-\d\d$"), F.to_date(F.try_to_timestamp("date_iso", F.lit("yyyy-MM-dd"))))
     time = F.when(F.col("time_key").rlike(r"^([01]\d|2[0-3])[0-5]\d$"), F.col("time_key"))
     shape = F.regexp_replace(F.lower(F.trim(F.coalesce("shape_key", F.lit("")))), "[_-]+", " ")
-    rec = rec.select(
-        "input_id",
-        F.coalesce(F.when(F.col("place_id") != "none", F.col("place_id")), F.concat(F.lit("text:"), F.nullif(F.regexp_replace(where, r"[\W_]+", " "), F.lit("")))).alias("place"),
+    # whole texts are read here, and only what they tell goes on
+    rec = records.where("input_id is not null").withColumn("text", text).select(
+        "input_id", F.concat(F.lit("text:"), F.nullif(F.regexp_replace(where, r"[\W_]+", " "), F.lit(""))).alias("spelled"),
         date.alias("date"),
         F.coalesce(F.lower(F.trim("date_precision")) == "month", F.lit(False)).alias("coarse"),
         time.alias("time"),
@@ -112,7 +106,10 @@ def features(records: DataFrame, places: DataFrame) -> DataFrame:
         F.when((minutes != "") & number.isNotNull() & (colour != ""), F.concat_ws("|", minutes, number, colour)).alias("facts"),
         F.when(street == "", "").otherwise(F.concat_ws(" ", street, _lookup(kind, short))).alias("street"),
         F.when(shape.isin("unknown", "unk", "n/a", "none", "null", "-", "other"), "").otherwise(_lookup(shape, SHAPES)).alias("shape"),
-    )
+    ).dropDuplicates(["input_id"])
+    at = map_places(records.selectExpr("input_id as canonical_input_id", "location_text as location_raw", "location_region_key as state_province", "location_country_key as country"), places)
+    rec = rec.join(at.selectExpr("canonical_input_id as input_id", "place_id"), "input_id", "left")
+    rec = rec.withColumn("place", F.coalesce(F.when(F.col("place_id") != "none", F.col("place_id")), F.col("spelled"))).drop("place_id", "spelled")
     day, month = F.dayofmonth("date"), F.month("date")
     swap = F.when((day <= 12) & (day != month), F.make_date(F.year("date"), day, month))
     cell = F.floor(F.col("minute") / CLOCK).cast("int")

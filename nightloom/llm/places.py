@@ -137,7 +137,8 @@ class Reference:
                 key = max(name, key=lambda t: (self.idf[t], len(t), t))
                 self.by_key.setdefault(key, []).append((i, name))
         self.regions: dict[str, set[str]] = {}
-        self.spelled: list[tuple[list[str], str]] = []
+        #: words of state names by their first letter
+        self.spelled: dict[str, list[tuple[list[str], str]]] = {}
         for country in {e[3] for e in self.entries if e[3]}:
             for alias in [country.replace(" ", ""), *ALIASES.get(country, "").split()]:
                 self.regions.setdefault(alias, set()).add(f"c:{country}")
@@ -149,8 +150,9 @@ class Reference:
             for alias in [state.replace(" ", ""), fold(r["state_code"] or "").strip(), *ALIASES.get(state, "").split()]:
                 if alias:
                     self.regions.setdefault(alias, set()).add(label)
-            if (state.split(), label) not in self.spelled:
-                self.spelled.append((state.split(), label))
+            known = self.spelled.setdefault(state[0], [])
+            if (state.split(), label) not in known:
+                known.append((state.split(), label))
         self._seen: dict[str, frozenset[str]] = {}
 
     def region(self, text: str) -> frozenset[str]:
@@ -159,8 +161,8 @@ class Reference:
         if got is None:
             found = set(self.regions.get(text, ()))
             if not found and len(text) >= 2:
-                for words, label in self.spelled:
-                    if _abbreviates(text, words):
+                for words, label in self.spelled.get(text[0], ()):
+                    if len(text) <= sum(map(len, words)) and _abbreviates(text, words):
                         found.add(label)
             if len(self._seen) > 200_000:
                 self._seen.clear()
