@@ -92,6 +92,24 @@ with recursive rec as (
 select rec.input_id, least.group_id from rec join least using (node) where least.members > 1
 """
 
+P5_SQL = """
+with texts as (
+  select canonical_input_id as id, source_text_key as text from candidate_feature
+  union all
+  select input_id, coalesce(nullif(trim(text_normalized), ''), summary) from compact_record
+), words as (
+  select id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from texts where id is not null and text is not null
+), bags as (
+  select id, word, count(*) as n, sum(count(*)) over (partition by id) as total from words group by id, word
+), fit as (
+  select * from bags where total >= 20
+), shared as (
+  select a.id as left_id, b.id as right_id, any_value(a.total) as l, any_value(b.total) as r, sum(least(a.n, b.n)) as common
+  from fit a join fit b on a.word = b.word and a.id < b.id and b.total >= 0.7 * a.total and a.total >= 0.7 * b.total group by 1, 2
+)
+select left_id, right_id from shared where common >= 0.7 * (l + r - common) - 1e-9
+"""
+
 P7_SQL = """
 with ci as (
   select canonical_input_id as id, max(ingested_at) as late, any_value(source_name) as source_name,
@@ -127,4 +145,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_found": p10_found,
     "p10_rates": p10_rates,
 }
-SQL: dict[str, str] = {"p3_found": P3_SQL, "p7_found": P7_SQL}
+SQL: dict[str, str] = {"p3_found": P3_SQL, "p5_found": P5_SQL, "p7_found": P7_SQL}
