@@ -74,6 +74,8 @@ def _unmangle(m: re.Match) -> str:
 
 def fold(text: str) -> str:
     """Entities and mangled bytes undone, accents and case dropped."""
+    if text.isascii() and "&" not in text:
+        return text.lower()
     text = _MOJIBAKE.sub(_unmangle, html.unescape(text))
     text = unicodedata.normalize("NFKD", text)
     return "".join(c for c in text if not unicodedata.combining(c) and c != "­").lower()
