@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from nightloom.operators.instants import normalise_instants
 from nightloom.operators.nearby import within_distance
-from nightloom.plans import assessments, catalogue, evidence, review, spatial, statistics, texts
+from nightloom.plans import assessments, catalogue, evidence, merging, review, spatial, statistics, texts
 from nightloom.session import table
 
 
@@ -37,8 +37,8 @@ where abs(p.lat - s.lat) <= 0.05
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p6_found": p6_found}
-for part in (catalogue, statistics, spatial, texts, evidence, assessments, review):
+for part in (catalogue, statistics, spatial, texts, evidence, assessments, review, merging):
     QUERIES |= part.QUERIES
 SQL: dict[str, str] = {"p4_found": P4_SQL}
-for part in (catalogue, statistics, spatial, texts, evidence, assessments, review):
+for part in (catalogue, statistics, spatial, texts, evidence, assessments, review, merging):
     SQL |= part.SQL
