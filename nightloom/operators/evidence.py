@@ -207,3 +207,53 @@ def apply_merges(rows: DataFrame, plan: DataFrame, key: str) -> DataFrame:
     gone = plan.select(key).distinct()
     into = plan.groupBy(F.col("into").alias(key)).agg(F.countDistinct(key).alias("merged"))
     return rows.join(gone, key, "left_anti").join(into, key, "left").withColumn("merged", F.coalesce("merged", F.lit(0)))
+
+
+def without_collisions(pairs: DataFrame, left: str, right: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs whose lineages (arrays) have nothing in common, and how many pairs each shared lineage took away."""
+    shared = F.array_intersect(left, right)
+    apart = pairs.where(~F.coalesce(F.arrays_overlap(left, right), F.lit(False)))
+    return apart, pairs.select(F.explode(shared).alias("lineage")).groupBy("lineage").agg(F.count("*").alias("pairs"))
+
+
+def role_exchange(counts: DataFrame, roles: int) -> DataFrame:
+    """cell, observed, expected, z: observed counts against those of any role being the observed one, cluster by cluster.
+
+    ``counts``: cluster, role ('observed' or a control's name), cell, n, without zeros.
+    Were the roles of a cluster exchanged at random, its count in a cell would be
+    each of its roles' with equal chance; clusters are independent, so means and
+    variances add and nothing has to be drawn.
+    """
+    by = counts.groupBy("cluster", "cell").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"), F.sum(F.when(F.col("role") == "observed", F.col("n")).otherwise(0)).alias("o"))
+    cell = by.groupBy("cell").agg(F.sum("o").alias("observed"), (F.sum("s") / roles).alias("expected"), F.sum(F.col("q") / roles - F.pow(F.col("s") / roles, 2)).alias("_v"))
+    return cell.select("cell", "observed", "expected", F.when(F.col("_v") > 0, (F.col("observed") - F.col("expected")) / F.sqrt("_v")).otherwise(0.0).alias("z"))
+
+
+def block_bootstrap(blocks: DataFrame, expected: DataFrame, draws: int = 200, seed: int = 1) -> DataFrame:
+    """focal, neighbour, lower, upper: percentiles of log2((O + 0.5) / (E + 0.5)) when blocks are drawn with Poisson weights.
+
+    ``blocks``: block, focal, neighbour, n. Each block has one weight a draw, from its
+    name and the draw's number, so all its cells go together; sums are partial before
+    the shuffle and no task gathers the blocks.
+    """
+    uniform = lambda k: (F.pmod(F.xxhash64("block", F.lit(seed), k), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    # Cumulative probabilities of a Poisson variable of mean 1.
+    steps = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
+
+    def weight(k: Column) -> Column:
+        u, out = uniform(k), F.lit(0)
+        for s in steps:
+            out = out + F.when(u > s, 1).otherwise(0)
+        return out
+
+    drawn = blocks.select("block", "focal", "neighbour", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("w", weight(F.col("draw")))
+    sums = drawn.groupBy("focal", "neighbour", "draw").agg(F.sum(F.col("n") * F.col("w")).alias("o"))
+    effect = F.log2((F.col("o") + 0.5) / (F.col("expected") + 0.5))
+    return sums.join(expected, ["focal", "neighbour"]).groupBy("focal", "neighbour").agg(F.percentile(effect, F.lit(0.025)).alias("lower"), F.percentile(effect, F.lit(0.975)).alias("upper"))
+
+
+def citations(rows: DataFrame, codes: DataFrame, key: str, direct: str, indirect: str) -> DataFrame:
+    """key, role, code, citation of a record's source codes, direct before indirect; unknown codes keep a null citation."""
+    each = F.array(F.struct(F.lit("direct").alias("role"), F.upper(F.trim(direct)).alias("code")), F.struct(F.lit("indirect").alias("role"), F.upper(F.trim(indirect)).alias("code")))
+    long = rows.select(key, F.explode(each).alias("x")).select(key, "x.*").where("code <> ''")
+    return long.join(codes, "code", "left").select(key, "role", "code", "citation")
