@@ -225,7 +225,7 @@ def normalise_instants(records: DataFrame, sources: DataFrame, block: int = 4000
             yield solve(held, memo)
 
     def solve(b: pd.DataFrame, memo: dict) -> pd.DataFrame:
-        if len(memo) > 500_000:
+        if len(memo) > 100_000:
             memo.clear()
         ids, insts, forms = [], [], []
         chain: list = []
@@ -260,10 +260,12 @@ def normalise_instants(records: DataFrame, sources: DataFrame, block: int = 4000
 
     registry = small(sources.where(F.col("source_name").isNotNull()).groupBy("source_name").agg(F.min("date_order").alias("date_order"), F.min("two_digit_from").alias("two_digit_from")))
     number = F.coalesce(F.col("source_row_number"), F.lit(0))
+    # records without a row number have no order; they are spread, so that no chain is a hot one
+    part = F.when(F.col("source_row_number").isNull(), -1 - F.pmod(F.xxhash64("canonical_input_id"), F.lit(1024))).otherwise(F.floor(number / block)).cast("long")
     rows = (
         records.where(F.col("canonical_input_id").isNotNull() & ~F.coalesce(F.lower(F.trim("date_precision")) == "approximate", F.lit(False)) & F.col("date_raw").isNotNull())
         .select(
-            "source_name", F.coalesce("source_file", F.lit("")).alias("source_file"), F.floor(number / block).cast("long").alias("part"), number.alias("number"),
+            "source_name", F.coalesce("source_file", F.lit("")).alias("source_file"), part.alias("part"), number.alias("number"),
             F.col("canonical_input_id").alias("id"), "date_raw", "time_raw", F.col("raw_fields")["local_zone"].alias("zone"),
         )
         .join(registry, "source_name", "left")
