@@ -42,3 +42,12 @@ for part in (catalogue, statistics, spatial, texts, evidence, assessments, revie
 SQL: dict[str, str] = {"p4_found": P4_SQL}
 for part in (catalogue, statistics, spatial, texts, evidence, assessments, review, merging):
     SQL |= part.SQL
+
+#: Sums of whole numbers are wider in the SQL engine than here; they are brought to the same type.
+WHOLE = {
+    "cohort_previous_period": ("active_total", "reference_total"), "cohort_other_dates": ("active_total", "reference_total"), "cohort_full_overlap": ("active_total", "reference_total"), "adaptive_bins": ("n",), "rolling_bins": ("rolling",),
+    "crosstab_residuals": ("observed",), "loo_source_range": ("n",), "calendar_exposure_ratio": ("observed",), "moon_phase_exposure": ("observed",), "lookup_worklist": ("score",), "evidence_atlas": ("n",), "catalogue_analysis": ("a", "c"),
+    "source_exclusions": ("a",), "merge_opportunities": ("records", "removable"), "merge_family_groups": ("records", "removable"),
+}
+for name, columns in WHOLE.items():
+    SQL[name] = f"select * replace ({', '.join(f'cast({c} as bigint) as {c}' for c in columns)}) from ({SQL[name]})"
