@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from nightloom.functions.geo import equal_area_cell, haversine_km
 from nightloom.functions.stats import mantel_haenszel
 from nightloom.operators.proximity import near_or_comparison
-from nightloom.session import cut
+from nightloom.session import cut, small
 
 
 def exposure_matrix(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -32,14 +32,42 @@ def shuffled_labels(rows: DataFrame, stratum: str, label: str, seed: int) -> Dat
     return ids.join(dealt, ["_s", "_k"]).select("id", "label")
 
 
-def cooccurrence(edges: DataFrame, rows: DataFrame, stratum: str, label: str, draws: int = 20) -> DataFrame:
-    """focal, neighbour, observed, expected, effect: log2((O + 0.5) / (E + 0.5)) against labels shuffled within strata."""
-    from functools import reduce
+def dealt_codes(rows: DataFrame, stratum: str, draws: int) -> DataFrame:
+    """id, codes: the code that each record gets in every draw, where draw s deals as ``shuffled_labels`` with seed s; ``rows``: id, stratum, code."""
+    k = F.row_number().over(Window.partitionBy(stratum).orderBy("id"))
+    drawn = Window.partitionBy("_s", "draw").orderBy("_h", "_k")
+    ids = cut(rows.select("id", F.col(stratum).alias("_s"), "code", k.alias("_k")))
+    all_draws = ids.select("id", "_s", "_k", "code", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("_s", "_k", "code", "draw", F.xxhash64("id", "draw").alias("_h"))
+    dealt = all_draws.select("_s", "draw", "code", F.row_number().over(drawn).alias("_k")).groupBy("_s", "_k").agg(F.sort_array(F.collect_list(F.struct("draw", "code"))).alias("_d"))
+    return ids.select("id", "_s", "_k").join(dealt, ["_s", "_k"]).select("id", F.col("_d.code").alias("codes"))
+
+
+def expected_matrix(edges: DataFrame, rows: DataFrame, stratum: str, label: str, draws: int) -> DataFrame:
+    """focal, neighbour, expected: the mean of ``exposure_matrix`` over labels shuffled within strata, all draws in one job.
 
+    The categories around a focal record in a draw are bits of whole numbers, so
+    a record with many neighbours adds one row a draw.
+    """
+    codes = cut(rows.select(F.col(label).alias("label")).distinct().select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("short").alias("code")))
+    n = codes.count()
+    hands = cut(dealt_codes(rows.join(small(codes), F.col(label) == F.col("label")).select("id", stratum, "code"), stratum, draws))
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    met = both.select("a", "b", F.lit(False).alias("own")).union(both.select("a", F.col("a").alias("b"), F.lit(True).alias("own")).distinct())
+    each = met.join(hands.withColumnRenamed("id", "b"), "b").select("a", "own", "codes").repartition("a").select("a", "own", F.posexplode("codes").alias("draw", "code"))
+    words = [F.bit_or(F.when(~F.col("own") & (F.floor(F.col("code") / 62) == w), F.expr("shiftleft(1L, code % 62)"))).alias(f"_w{w}") for w in range((n + 61) // 62)]
+    around = each.groupBy("a", "draw").agg(F.max(F.when(F.col("own"), F.col("code"))).alias("_f"), *words)
+    names = [f"_w{w}" for w in range((n + 61) // 62)]
+    sets = around.groupBy("_f", *names).agg(F.count("*").alias("n"))
+    found = sets.select("_f", "n", F.explode(F.expr(f"filter(sequence(0, {max(n, 1) - 1}), c -> getbit(array({', '.join(names)})[int(c / 62)], c % 62) = 1)")).alias("_g")) if names else sets.select("_f", "n", F.lit(0).alias("_g"))
+    f, g = codes.select(F.col("code").alias("_f"), F.col("label").alias("focal")), codes.select(F.col("code").cast("int").alias("_g"), F.col("label").alias("neighbour"))
+    return found.groupBy("_f", "_g").agg((F.sum("n") / draws).alias("expected")).join(f, "_f").join(g, "_g").select("focal", "neighbour", "expected")
+
+
+def cooccurrence(edges: DataFrame, rows: DataFrame, stratum: str, label: str, draws: int = 499) -> DataFrame:
+    """focal, neighbour, observed, expected, effect: log2((O + 0.5) / (E + 0.5)) against labels shuffled within strata."""
     edges, rows = cut(edges), cut(rows.select("id", stratum, label))
     seen = exposure_matrix(edges, rows.select("id", F.col(label).alias("label"))).withColumnRenamed("n", "observed")
-    null = [exposure_matrix(edges, shuffled_labels(rows, stratum, label, s)) for s in range(draws)]
-    mean = reduce(DataFrame.union, null).groupBy("focal", "neighbour").agg((F.sum("n") / draws).alias("expected"))
+    mean = expected_matrix(edges, rows, stratum, label, draws)
     both = seen.join(mean, ["focal", "neighbour"], "full").select("focal", "neighbour", F.coalesce("observed", F.lit(0)).alias("observed"), F.coalesce("expected", F.lit(0.0)).alias("expected"))
     return both.withColumn("effect", F.log2((F.col("observed") + 0.5) / (F.col("expected") + 0.5)))
 

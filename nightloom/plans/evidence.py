@@ -9,11 +9,11 @@ from nightloom.operators import evidence, proximity
 from nightloom.plans.base import EVENTS_SQL, REPORTS_SQL, haversine_sql, reports, stream_events
 from nightloom.plans.spatial import _FACILITIES
 from nightloom.plans.statistics import _P_SQL, _rounded
-from nightloom.session import table
+from nightloom.session import cut, table
 
 
 def _night(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports(spark, sf_dir).where("lat is not null and day is not null and craft is not null and source in ('harbor_log', 'nightwatch_club', 'aero_clippings')").select(F.col("event_id").alias("id"), "day", "lat", "lon", "craft", "source")
+    return cut(reports(spark, sf_dir).where("lat is not null and day is not null and craft is not null").select(F.col("event_id").alias("id"), "day", "lat", "lon", "craft", "source"))
 
 
 def craft_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def craft_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def craft_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _night(spark, sf_dir)
     edges = proximity.day_window_pairs(r, r, 365, 300.0, 5.0).where("left_id < right_id").select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
-    return _rounded(evidence.cooccurrence(edges, r, "source", "craft", 5))
+    return _rounded(evidence.cooccurrence(edges, r, "source", "craft"))
 
 
 def facility_lane_odds(spark: SparkSession, sf_dir: str) -> DataFrame:

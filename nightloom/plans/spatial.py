@@ -9,7 +9,7 @@ from nightloom.functions.geo import equal_area_cell, mercator_pixel, solar_minut
 from nightloom.operators import calendar, dedupe, graph, proximity, sequence
 from nightloom.plans.base import EVENTS_SQL, REPORTS_SQL, haversine_sql, reports, stream_events
 from nightloom.plans.statistics import _rounded
-from nightloom.session import table
+from nightloom.session import cut, table
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +72,9 @@ def interval_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(proximity.interval_state(F.col("at"), F.when(F.col("event_id") % 11 != 0, spans), 15).alias("state")).groupBy("state").agg(F.count("*").alias("n"))
 
 
-def _mapped(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
-    return reports(spark, sf_dir).where(F.col("source") == source).where("lat is not null and day is not null").select(F.col("event_id").alias("id"), "day", "lat", "lon", "craft")
+def _mapped(spark: SparkSession, sf_dir: str, source: str | None = None) -> DataFrame:
+    r = reports(spark, sf_dir)
+    return (r if source is None else r.where(F.col("source") == source)).where("lat is not null and day is not null").select(F.col("event_id").alias("id"), "day", "lat", "lon", "craft")
 
 
 def day_window_radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +83,7 @@ def day_window_radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_later_day_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(proximity.first_later_nearest(_mapped(spark, sf_dir, "skyledger"), 365, 300.0, 5.0), 4)
+    return _rounded(proximity.first_later_nearest(cut(_mapped(spark, sf_dir)), 365, 300.0, 5.0), 4)
 
 
 def nearest_within(spark: SparkSession, sf_dir: str) -> DataFrame:
