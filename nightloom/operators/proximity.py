@@ -94,24 +94,36 @@ def point_segment_km(plat: Column, plon: Column, lat1: Column, lon1: Column, lat
     return F.sqrt(F.pow(ax + t * dx, 2) + F.pow(ay + t * dy, 2))
 
 
+def pieces(segments: DataFrame, degrees: float) -> DataFrame:
+    """trace_id, from_lat, from_lon, to_lat, to_lon: every segment cut into equal pieces of at most ``degrees`` both ways."""
+    d_lat, d_lon = F.col("to_lat") - F.col("from_lat"), F.col("to_lon") - F.col("from_lon")
+    n = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(d_lat), F.abs(d_lon)) / degrees))
+    each = segments.select("trace_id", "from_lat", "from_lon", d_lat.alias("_y"), d_lon.alias("_x"), n.alias("_n")).withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    at = lambda c, d, p: F.col(c) + F.col(d) * p / F.col("_n")
+    return each.select("trace_id", at("from_lat", "_y", F.col("_p")).alias("from_lat"), at("from_lon", "_x", F.col("_p")).alias("from_lon"), at("from_lat", "_y", F.col("_p") + 1).alias("to_lat"), at("from_lon", "_x", F.col("_p") + 1).alias("to_lon"))
+
+
 def points_along(segments: DataFrame, points: DataFrame, km: float, size: float) -> DataFrame:
     """trace_id, id, km: points within a distance of a segment.
 
-    Segments are laid over the grid cells of their bounding box; segments beyond
-    5,000 cells are returned by none, and counted by ``segments_skipped``.
+    Segments are cut into pieces of four cells, which are laid over the grid cells
+    of their bounding boxes, so no segment is too long; the least distance counts.
     """
     pad = km / 111.0
+    s = pieces(segments, 4 * size)
     south, north = F.least("from_lat", "to_lat") - pad, F.greatest("from_lat", "to_lat") + pad
-    lon_pad = pad / F.greatest(F.cos(F.radians(F.least(F.greatest(F.abs(south), F.abs(north)), F.lit(89.0)))), F.lit(0.02))
+    widest = F.greatest(F.abs(south), F.abs(north))
+    lon_pad = pad / F.cos(F.radians(F.least(widest, F.lit(89.0))))
     west, east = F.least("from_lon", "to_lon") - lon_pad, F.greatest("from_lon", "to_lon") + lon_pad
     columns = int(360 / size)
-    ys, xs = F.sequence(F.floor((south + 90) / size), F.floor((north + 90) / size)), F.sequence(F.floor((west + 180) / size), F.floor((east + 180) / size))
-    fit = (F.floor((north - south) / size) + 2) * (F.floor((east - west) / size) + 2) <= 5000
-    cells = F.array_distinct(F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: y * columns + F.pmod(x, F.lit(columns))))))
-    laid = segments.where(fit).select("trace_id", "from_lat", "from_lon", "to_lat", "to_lon", F.explode(cells).alias("_cell"))
+    ys = F.sequence(F.floor((south + 90) / size), F.floor((north + 90) / size))
+    xs = F.when(widest > 89.0, F.sequence(F.lit(0).cast("long"), F.lit(columns - 1).cast("long"))).otherwise(F.sequence(F.floor((west + 180) / size), F.floor((east + 180) / size)))
+    s = s.select("*", ys.alias("_ys"), xs.alias("_xs")).withColumn("_y", F.explode("_ys")).withColumn("_x", F.explode("_xs"))
+    laid = s.select("trace_id", "from_lat", "from_lon", "to_lat", "to_lon", (F.col("_y") * columns + F.pmod("_x", F.lit(columns))).alias("_cell"))
     at = points.select("id", "lat", "lon", grid_cell(F.col("lat"), F.col("lon"), size).alias("_cell"))
     far = point_segment_km(F.col("lat"), F.col("lon"), F.col("from_lat"), F.col("from_lon"), F.col("to_lat"), F.col("to_lon"))
-    return laid.join(at, "_cell").select("trace_id", "id", far.alias("km")).where(F.col("km") <= km).distinct()
+    near = laid.join(small(at), "_cell").select("trace_id", "id", "lat", "lon", far.alias("km")).where(F.col("km") <= km)
+    return near.groupBy("trace_id", "id", "lat", "lon").agg(F.min("km").alias("km")).select("trace_id", "id", "km").distinct()
 
 
 def crossings(segments: DataFrame, size: float = 10.0) -> DataFrame:

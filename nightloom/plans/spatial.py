@@ -101,8 +101,8 @@ def facility_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = reports(spark, sf_dir).where("source in ('skyledger', 'harbor_log') and day is not null and lat is not null")
-    return sequence.segments(r, ["source", "craft"], ["day"])
+    r = reports(spark, sf_dir).where("day is not null and lat is not null")
+    return cut(sequence.segments(r, ["source", "craft"], ["day"]))
 
 
 _CHAIN_SQL = f"""{REPORTS_SQL}, nx as (select *, lead(event_id) over w as n_id, lead(lat) over w as n_lat, lead(lon) over w as n_lon from reports where source in ('skyledger', 'harbor_log') and day is not null and lat is not null
@@ -115,8 +115,7 @@ def segment_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def point_to_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "place_ref").select(F.col("place_id").alias("id"), "lat", "lon")
-    s = _chain(spark, sf_dir).where("abs(to_lon - from_lon) < 8 and abs(to_lat - from_lat) < 8")
-    return _rounded(proximity.points_along(s, p, 40.0, 1.0), 4)
+    return _rounded(proximity.points_along(_chain(spark, sf_dir), p, 40.0, 1.0), 4)
 
 
 def equal_area_grid_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from oracle import rows_of, sql_rows
 from pyspark.sql import functions as F
 
 from nightloom import queries
-from nightloom.operators import evidence
+from nightloom.operators import evidence, proximity
 from nightloom.session import table
 
 
@@ -57,3 +58,25 @@ def test_expected_matrix_is_the_mean_of_its_draws(spark):
             want[r["focal"], r["neighbour"]] = want.get((r["focal"], r["neighbour"]), 0) + r["n"]
     got = {(r["focal"], r["neighbour"]): round(r["expected"] * 3) for r in evidence.expected_matrix(edges, rows, "s", "l", 3).collect()}
     assert got == want
+
+
+def _random_segments(spark, n):
+    r = np.random.default_rng(3)
+    ends = [(f"t{i}", f"f{i}", f"g{i}", *map(float, (r.uniform(-80, 80), x := r.uniform(-180, 180), r.uniform(-80, 80), x + r.uniform(-179, 179)))) for i in range(n)]
+    return ends, spark.createDataFrame(ends, "trace_id string, from_id string, to_id string, from_lat double, from_lon double, to_lat double, to_lon double")
+
+
+def test_points_along_long_segments(spark):
+    ends, segments = _random_segments(spark, 40)
+    places = [(f"p{i}", float(a), float(b)) for i, (a, b) in enumerate(np.random.default_rng(4).uniform((-85, -180), (85, 180), (400, 2)))]
+    want = {}
+    for t, _, _, y1, x1, y2, x2 in ends:
+        for p, lat, lon in places:
+            for turn in (-360, 0, 360):
+                k = np.cos(np.radians(lat)) * 111.195
+                a, b = np.array([(x1 + turn - lon) * k, (y1 - lat) * 111.195]), np.array([(x2 + turn - lon) * k, (y2 - lat) * 111.195])
+                f = np.clip(-a @ (b - a) / ((b - a) @ (b - a)), 0, 1)
+                if (d := np.linalg.norm(a + f * (b - a))) <= 40:
+                    want[t, p] = min(want.get((t, p), 99), d)
+    got = {(r["trace_id"], r["id"]): r["km"] for r in proximity.points_along(segments, spark.createDataFrame(places, "id string, lat double, lon double"), 40.0, 1.0).collect()}
+    assert got == pytest.approx(want, abs=1e-6) and len(want) > 20
