@@ -126,22 +126,41 @@ def points_along(segments: DataFrame, points: DataFrame, km: float, size: float)
     return near.groupBy("trace_id", "id", "lat", "lon").agg(F.min("km").alias("km")).select("trace_id", "id", "km").distinct()
 
 
+def line_cells(x1: Column, y1: Column, x2: Column, y2: Column, size: float) -> Column:
+    """Keys of the grid cells that a segment runs through, row by row; longitudes run on past the date line."""
+    low, high = F.least(y1, y2), F.greatest(y1, y2)
+    at = lambda y, end: F.when(y1 == y2, end).otherwise(x1 + F.try_divide(y - y1, y2 - y1) * (x2 - x1))
+    # a little wider, since the ends of a row are rounded
+    column = lambda x, more: F.floor((x + more + 180) / size)
+
+    def row(i: Column) -> Column:
+        a, b = at(F.greatest(i * size - 90, low), x1), at(F.least((i + 1) * size - 90, high), x2)
+        return F.transform(F.sequence(column(F.least(a, b), -1e-3), column(F.greatest(a, b), 1e-3)), lambda j: i * 10_000 + j)
+
+    return F.flatten(F.transform(F.sequence(F.floor((low + 90) / size), F.floor((high + 90) / size)), row))
+
+
 def crossings(segments: DataFrame, size: float = 10.0) -> DataFrame:
-    """a, b: pairs of segments, lesser id first, that cross inside both and share no end; met in common grid cells only."""
-    columns = int(360 / size)
-    y = F.sequence(F.floor((F.least("from_lat", "to_lat") + 90) / size), F.floor((F.greatest("from_lat", "to_lat") + 90) / size))
-    x = F.sequence(F.floor((F.least("from_lon", "to_lon") + 180) / size), F.floor((F.greatest("from_lon", "to_lon") + 180) / size))
-    cells = F.flatten(F.transform(y, lambda i: F.transform(x, lambda j: i * columns * 2 + j)))
-    s = segments.select("trace_id", "from_id", "to_id", F.col("from_lat").alias("y1"), F.col("from_lon").alias("x1"), F.col("to_lat").alias("y2"), F.col("to_lon").alias("x2"), F.explode(cells).alias("_cell"))
-    a, b = s.select([F.col(c).alias(f"a_{c}") for c in s.columns]), s.select([F.col(c).alias(f"b_{c}") for c in s.columns])
+    """a, b: pairs of segments, lesser id first, that cross inside both and share no end; met in common grid cells only.
+
+    One side is also laid a turn to the west and to the east, since segments over
+    the date line run past 180. A pair is told in the least of its common cells.
+    """
+    s = segments.select("trace_id", "from_id", "to_id", F.col("from_lat").alias("y1"), F.col("from_lon").alias("x1"), F.col("to_lat").alias("y2"), F.col("to_lon").alias("x2"))
+    turned = s.withColumn("_turn", F.explode(F.array(*map(F.lit, (-360.0, 0.0, 360.0))))).withColumns({c: F.col(c) + F.col("_turn") for c in ("x1", "x2")}).drop("_turn").where("least(x1, x2) <= 360 and greatest(x1, x2) >= -360")
+
+    def laid(side: DataFrame, name: str) -> DataFrame:
+        out = side.withColumn("cells", line_cells(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), size)).withColumn("_cell", F.explode("cells"))
+        return out.select([F.col(c).alias(f"{name}_{c}") for c in out.columns])
 
     def side(px: str, py: str, qx: str, qy: str, rx: str, ry: str) -> Column:
         return (F.col(qx) - F.col(px)) * (F.col(ry) - F.col(py)) - (F.col(qy) - F.col(py)) * (F.col(rx) - F.col(px))
 
-    pairs = a.join(b, F.col("a__cell") == F.col("b__cell")).where("a_trace_id < b_trace_id and a_from_id <> b_from_id and a_from_id <> b_to_id and a_to_id <> b_from_id and a_to_id <> b_to_id")
+    pairs = laid(s, "a").join(laid(turned, "b"), F.col("a__cell") == F.col("b__cell")).where("a_trace_id < b_trace_id and a_from_id <> b_from_id and a_from_id <> b_to_id and a_to_id <> b_from_id and a_to_id <> b_to_id")
     d1, d2 = side("b_x1", "b_y1", "b_x2", "b_y2", "a_x1", "a_y1"), side("b_x1", "b_y1", "b_x2", "b_y2", "a_x2", "a_y2")
     d3, d4 = side("a_x1", "a_y1", "a_x2", "a_y2", "b_x1", "b_y1"), side("a_x1", "a_y1", "a_x2", "a_y2", "b_x2", "b_y2")
-    return pairs.where((d1 * d2 < 0) & (d3 * d4 < 0)).select(F.col("a_trace_id").alias("a"), F.col("b_trace_id").alias("b")).distinct()
+    met = pairs.where((d1 * d2 < 0) & (d3 * d4 < 0)).where(F.col("a__cell") == F.array_min(F.array_intersect("a_cells", "b_cells")))
+    return met.select(F.col("a_trace_id").alias("a"), F.col("b_trace_id").alias("b"))
 
 
 def day_forest(points: DataFrame, km: float, size: float = 5.0) -> DataFrame:

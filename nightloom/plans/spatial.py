@@ -110,7 +110,7 @@ _CHAIN_SQL = f"""{REPORTS_SQL}, nx as (select *, lead(event_id) over w as n_id,
 
 
 def segment_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return proximity.crossings(_chain(spark, sf_dir).where("bucket = 'gap_le_30' or gap_days < 200")).select("a", "b")
+    return proximity.crossings(_chain(spark, sf_dir)).select("a", "b")
 
 
 def point_to_segment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,3 +80,22 @@ def test_points_along_long_segments(spark):
                     want[t, p] = min(want.get((t, p), 99), d)
     got = {(r["trace_id"], r["id"]): r["km"] for r in proximity.points_along(segments, spark.createDataFrame(places, "id string, lat double, lon double"), 40.0, 1.0).collect()}
     assert got == pytest.approx(want, abs=1e-6) and len(want) > 20
+
+
+def test_crossings_over_the_date_line(spark):
+    ends, segments = _random_segments(spark, 60)
+    side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    want, plain = set(), set()
+    for t, _, _, y1, x1, y2, x2 in ends:
+        for u, _, _, v1, w1, v2, w2 in ends:
+            for turn in (-360, 0, 360):
+                a, b, c, d = (x1, y1), (x2, y2), (w1 + turn, v1), (w2 + turn, v2)
+                if t < u and side(c, d, a) * side(c, d, b) < 0 and side(a, b, c) * side(a, b, d) < 0:
+                    (want if turn else plain).add((t, u))
+    got = [tuple(r) for r in proximity.crossings(segments).collect()]
+    assert len(got) == len(set(got)) and set(got) == want | plain and want - plain
+
+
+def test_segment_queries_have_every_segment(spark, dense):
+    sql = without("segment_crossings", "source in ('skyledger', 'harbor_log') and ", " where gap < 200")
+    assert rows_of(queries.QUERIES["segment_crossings"](spark, dense)) == sql_rows(sql, dense)
