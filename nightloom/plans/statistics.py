@@ -42,7 +42,7 @@ def rolling_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def burst_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").withColumn("month", F.year("o_orderdate") * 12 + F.month("o_orderdate")).where("month % 7 <> 0 or o_orderkey % 3 = 0")
+    o = table(spark, sf_dir, "orders").withColumn("month", F.year("o_orderdate") * 12 + F.month("o_orderdate"))
     n = o.groupBy("month").agg(F.count("*").alias("n"))
     found = cohort.bursts(n, "month", "n", least=10, least_mean=5.0, ratio=1.02, sigmas=0.2)
     return found.select("month", "n", F.round("trailing_mean", 6).alias("trailing_mean"), F.round("deviation", 6).alias("deviation"))

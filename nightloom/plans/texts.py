@@ -139,7 +139,7 @@ def dictionary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filtered_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = stream_events(spark, sf_dir).where("value > 0 and event_id % 3 = 0")
+    e = stream_events(spark, sf_dir).where("value > 0")
     return sequence.segments(e, ["user_id"], ["ts"]).select("trace_id", "gap_days")
 
 

@@ -8,7 +8,7 @@ from oracle import rows_of, sql_rows
 from pyspark.sql import functions as F
 
 from nightloom import queries
-from nightloom.operators import evidence, proximity
+from nightloom.operators import cohort, evidence, proximity
 from nightloom.session import table
 
 
@@ -99,3 +99,17 @@ def test_crossings_over_the_date_line(spark):
 def test_segment_queries_have_every_segment(spark, dense):
     sql = without("segment_crossings", "source in ('skyledger', 'harbor_log') and ", " where gap < 200")
     assert rows_of(queries.QUERIES["segment_crossings"](spark, dense)) == sql_rows(sql, dense)
+
+
+def test_filtered_segments_has_every_event(spark, sf_dir):
+    assert rows_of(queries.QUERIES["filtered_segments"](spark, sf_dir)) == sql_rows(without("filtered_segments", " and event_id % 3 = 0"), sf_dir)
+
+
+def test_burst_months_has_every_order(spark, sf_dir):
+    sql = without("burst_months", " where (year(o_orderdate) * 12 + month(o_orderdate)) % 7 <> 0 or o_orderkey % 3 = 0")
+    assert rows_of(queries.QUERIES["burst_months"](spark, sf_dir)) == sql_rows(sql, sf_dir)
+
+
+def test_bursts_finds_the_month_that_stands_out(spark):
+    n = spark.createDataFrame([(m, 300 if m == 40 else 100 + m % 2) for m in range(60)], "month int, n long")
+    assert [r["month"] for r in cohort.bursts(n, "month", "n", least=10, least_mean=5.0, ratio=2.0, sigmas=3.0).collect()] == [40]
