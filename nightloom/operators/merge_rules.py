@@ -28,32 +28,82 @@ _STRUCTURED = {
     "same_source_strong_date_structured_city_state_country": (HIGH, "ss date city state country"), "same_source_strong_date_structured_city_state": (HIGH, "ss date city state"),
     "strong_date_structured_city_state_country": (MEDIUM, "date city state country"), "strong_date_structured_city_state": (MEDIUM, "date city state"),
 }
-MAXIMAL_2 = MAXIMAL_1 | _STRUCTURED | {"same_source_strong_date_structured_city_country_type": (MEDIUM, "ss date city country type"), "strong_date_structured_city_country_type": (MEDIUM, "date city country type")}
+MAXIMAL_2 = MAXIMAL_1 | _STRUCTURED | {"same_source_strong_date_structured_city_country_type": (MEDIUM, "ss date city country kind"), "strong_date_structured_city_country_type": (MEDIUM, "date city country kind")}
 MAXIMAL_3 = MAXIMAL_1 | _STRUCTURED
 NO_CONFLICT = "strong_date_structured_city_country_no_state_conflict"
 STRATEGIES = {"aggressive_v1": AGGRESSIVE, "maximal_v1": MAXIMAL_1, "maximal_v2": MAXIMAL_2, "maximal_v3": MAXIMAL_3}
-# Positions that are trusted, and native ids that name nothing.
-TRUSTED = ("source_coordinates", "geocoded_city", "map_square")
-GENERIC_IDS = ("none", "null", "unknown", "n/a", "test", "000", "0000")
+# Fixed values, all as keys: positions that are trusted, native ids and types that name nothing, places that are none, and what stands for a token of a place.
+TRUSTED = ("raw latlong", "source coordinates", "location coordinates")
+GENERIC_IDS = ("none", "null", "unknown", "n a", "na", "000", "999")
+GENERIC_TYPES = ("unknown", "other", "sighting", "ufo", "nuforc", "ufodna", "nicap", "brazilgov")
+GENERIC_PLACES = ("unknown", "unresolved", "undisclosed", "undisclosed location")
+STATES = {
+    "al": "alabama", "ak": "alaska", "az": "arizona", "ar": "arkansas", "ca": "california", "co": "colorado", "ct": "connecticut", "de": "delaware", "fl": "florida", "ga": "georgia",
+    "hi": "hawaii", "id": "idaho", "il": "illinois", "in": "indiana", "ia": "iowa", "ks": "kansas", "ky": "kentucky", "la": "louisiana", "me": "maine", "md": "maryland", "ma": "massachusetts",
+    "mi": "michigan", "mn": "minnesota", "ms": "mississippi", "mo": "missouri", "mt": "montana", "ne": "nebraska", "nv": "nevada", "nh": "new hampshire", "nj": "new jersey", "nm": "new mexico",
+    "ny": "new york", "nc": "north carolina", "nd": "north dakota", "oh": "ohio", "ok": "oklahoma", "or": "oregon", "pa": "pennsylvania", "ri": "rhode island", "sc": "south carolina",
+    "sd": "south dakota", "tn": "tennessee", "tx": "texas", "ut": "utah", "vt": "vermont", "va": "virginia", "wa": "washington", "wv": "west virginia", "wi": "wisconsin", "wy": "wyoming", "us": "usa",
+}
+# Words of a report that tell nothing, and words that stand for others.
+STOP_WORDS = "a about above after again all an and are as at be by for from had has have in into is it near of on or over reported report saw see seen sighting the to ufo was were with witness witnesses".split()
+WORD_ALIASES = {"cylindrical": "cylinder", "cylinders": "cylinder", "hovered": "hover", "hovering": "hover", "lights": "light", "silently": "silent", "triangular": "triangle", "triangles": "triangle"}
+
+_CLOCK = r"\b(?:(?:[01]?\d|2[0-3])(?::[0-5]\d){1,2}|(?:[01]?\d|2[0-3])[0-5]\d)\s*(?:[ap]\.?m\.?)?\b"
+_HOUR = r"\b(?:[1-9]|1[0-2])\s*[ap]\.?m\b\.?"
+
+
+def _mapped(table: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+
+
+def place_key(value: Column) -> Column:
+    """Key of a place text with states and the United States written out alike; null for a text without letters and digits."""
+    key = F.regexp_replace(normalize_key(value), r"\bunited states(?: of america)?\b", "usa")
+    names = _mapped(STATES)
+    return F.nullif(F.array_join(F.transform(F.split(key, " "), lambda t: F.coalesce(names[t], t)), " "), F.lit(""))
+
+
+def time_key(value: Column) -> Column:
+    """Key of a specific time of day in a text: noon, midnight, the first clock or hour with am or pm; null without one."""
+    low = F.lower(F.coalesce(value, F.lit("")))
+    clock, hour = F.regexp_extract(low, _CLOCK, 0), F.regexp_extract(low, _HOUR, 0)
+    return F.when(F.contains(low, F.lit("noon")), "noon").when(F.contains(low, F.lit("midnight")), "midnight").otherwise(F.nullif(normalize_key(F.when(clock != "", clock).otherwise(hour)), F.lit("")))
+
+
+def report_tokens(*texts: Column) -> Column:
+    """Telling words of a report's texts in order: aliases and word ends undone, stop words and single letters left out."""
+    aliases, fixed = _mapped(WORD_ALIASES), sorted(set(WORD_ALIASES.values()))
+
+    def stem(word: Column) -> Column:
+        w = F.coalesce(aliases[word], word)
+        n = F.length(w)
+        cut_by = F.when(w.isin(*fixed), 0).when((n > 5) & F.endswith(w, F.lit("ing")), 3).when((n > 4) & (F.endswith(w, F.lit("ed")) | F.endswith(w, F.lit("ly"))), 2).when((n > 3) & F.endswith(w, F.lit("s")), 1).otherwise(0)
+        return F.substring(w, F.lit(1), n - cut_by)
+
+    words = F.split(normalize_key(F.concat_ws(" ", *texts)), " ")
+    return F.filter(F.transform(words, stem), lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))
 
 
 def key_parts(records: DataFrame) -> DataFrame:
     """id and the parts of merge keys, null where a record has none.
 
     ``records``: id, source, native_id, day, date_precision, time_raw, location, lat,
-    lon, coordinate_source, type, city, state, country, description.
+    lon, coordinate_source, type, city, state, country, description. ``kind`` is the
+    type unless it is a generic one. Generic cities and countries stand in the
+    per-record keys; only the keys over whole blocks leave them out.
     """
     some = lambda c: F.nullif(normalize_key(c), F.lit(""))
-    native = F.lower(F.trim("native_id"))
-    trusted = F.col("coordinate_source").isin(*TRUSTED) & F.col("lat").isNotNull() & F.col("lon").isNotNull()
-    minute = F.regexp_extract(F.coalesce("time_raw", F.lit("")), r"^(\d{1,2}:\d{2})", 1)
+    native, kind = normalize_key(F.col("native_id")), some(F.col("type"))
+    trusted = normalize_key(F.col("coordinate_source")).isin(*TRUSTED) & F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    whole = F.concat_ws(", ", *[F.when(F.trim(c) != "", F.trim(c)) for c in ("city", "state", "country")])
     return records.select(
-        "id", F.col("source").alias("ss"), F.when((F.length(native) >= 3) & ~native.isin(*GENERIC_IDS), native).alias("native"),
-        F.when(F.lower("date_precision").isin("day", "exact_day"), F.col("day").cast("string")).alias("date"), F.nullif(minute, F.lit("")).alias("time"), some(F.col("location")).alias("place"),
+        "id", some(F.col("source")).alias("ss"), F.when((F.length(native) >= 3) & ~native.isin(*GENERIC_IDS), native).alias("native"),
+        F.when(F.lower("date_precision").isin("day", "exact_day"), F.col("day").cast("string")).alias("date"), time_key(F.col("time_raw")).alias("time"),
+        place_key(F.coalesce(F.when(F.trim("location") != "", F.col("location")), whole)).alias("place"),
         F.when(trusted, F.concat_ws(",", F.bround("lat", 3).cast("string"), F.bround("lon", 3).cast("string"))).alias("coord"),
         # truncation towards zero, not floor
         F.when(trusted, F.concat_ws(",", (F.col("lat") / 0.05).cast("int").cast("string"), (F.col("lon") / 0.05).cast("int").cast("string"))).alias("cell"),
-        some(F.col("type")).alias("type"), some(F.col("city")).alias("city"), some(F.col("state")).alias("state"), some(F.col("country")).alias("country"),
+        kind.alias("type"), F.when(~kind.isin(*GENERIC_TYPES), kind).alias("kind"), *[place_key(F.col(c)).alias(c) for c in ("city", "state", "country")],
         fingerprint(F.col("day").cast("string"), F.col("time_raw"), F.col("location"), F.col("description")).alias("fingerprint"),
     )
 
@@ -75,7 +125,9 @@ def merge_records(records: DataFrame, strategy: str) -> DataFrame:
     parts = key_parts(records)
     keys, of = family_keys(strategy), {n: c for n, (c, _) in STRATEGIES[strategy].items()}
     if strategy == "maximal_v3":
-        fine = group_keys(parts.where("date is not null and city is not null and country is not null"), ["date", "city", "country"], "state", F.concat_ws("|", "date", "city", "country"))
+        known = lambda c: ~F.coalesce(F.col(c), F.lit("unknown")).isin(*GENERIC_PLACES)
+        block = parts.where(F.col("date").isNotNull() & known("city") & known("country")).withColumn("state", F.when(known("state"), F.col("state")))
+        fine = group_keys(block, ["date", "city", "country"], "state", F.concat_ws("|", "date", "city", "country"))
         parts = parts.join(fine.withColumnRenamed("key", "_free"), "id", "left")
         keys, of = keys | {NO_CONFLICT: F.col("_free")}, of | {NO_CONFLICT: LOW}
     found = key_groups(parts, keys)

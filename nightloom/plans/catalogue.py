@@ -87,8 +87,7 @@ def search_postings_and_or(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_token_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return search.token_counts(search.build_postings(docs, "doc_id", "text").where(F.col("token").rlike("^[a-z]+$")))
+    return search.token_counts(search.build_postings(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
 def search_multi_field(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +176,7 @@ SQL = {
     "search_any": _search_sql(f"{_has('pilot')} or {_has('engineer')}"),
     "search_expression": _search_sql(f"({_has('no sound')} and ({_has('boat')} or {_has('horses')})) or {_has('blamed ball lightning')}"),
     "search_postings_and_or": f"select doc_id from documents where {_has('beam')} and ({_has('grass lay flat')} or {_has('whistle')})",
-    "search_token_df": r"select token, count(*) as df from (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')) as token from documents where lang = 'en') where regexp_matches(token, '^[a-z]+$') group by 1",
+    "search_token_df": r"select token, count(*) as df from (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')) as token from documents) group by 1",
     "search_multi_field": f"""with {REPORTS_SQL}, t as (select event_id, lower(coalesce(description, '') || chr(10) || coalesce(location, '') || chr(10) || coalesce(source, '') || chr(10) || coalesce(craft, '')) as x from reports)
         select event_id from t where contains(x, 'harbor_log') and (contains(x, 'disk') or contains(x, 'oval'))""",
     "json_props_facet": "select json_extract_string(props, '$.k') as k, event_type, count(*) as n from events group by 1, 2",

@@ -119,7 +119,7 @@ QUERIES = {f.__name__: f for f in (
     control_windows, polygon_members, raw_field_pairs, share_tokens, conflict_free_keys, merged_rows,
 )}
 
-_NIGHT_SQL = f"{REPORTS_SQL}, m as (select event_id as id, day, lat, lon, craft, source from reports where lat is not null and day is not null and craft is not null and source in ('harbor_log', 'nightwatch_club', 'aero_clippings'))"
+_NIGHT_SQL = f"{REPORTS_SQL}, m as (select event_id as id, day, lat, lon, craft, source from reports where lat is not null and day is not null and craft is not null)"
 _CELL = "'ea12x24:' || greatest(0, least(11, cast(floor((sin(radians(lat)) + 1) / 2 * 12) as bigint))) || ':' || greatest(0, least(23, cast(floor((lon + 180) / 360 * 24) as bigint)))"
 
 

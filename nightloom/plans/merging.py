@@ -24,8 +24,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_family_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = merge_rules.key_parts(_records(spark, sf_dir))
-    keys = {k: v for k, v in merge_rules.family_keys("maximal_v2").items() if "coord" not in k and k != "exact_canonical_fingerprint"}
-    return review.key_opportunities(parts, keys)
+    return review.key_opportunities(parts, merge_rules.family_keys("maximal_v2"))
 
 
 def merged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,21 +64,31 @@ QUERIES = {f.__name__: f for f in (merge_family_groups, merged_records, near_dup
 _KEY = lambda c: f"nullif(trim(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9]+', ' ', 'g')), '')"
 
 
+def _place_sql(column: str) -> str:
+    names = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in merge_rules.STATES.items()) + "}"
+    return f"array_to_string(list_transform(string_split(regexp_replace({_KEY(column)}, '\\bunited states(?: of america)?\\b', 'usa', 'g'), ' '), lambda t: coalesce({names}[t], t)), ' ')"
+
+
 def _families_sql() -> str:
     out = []
     for name, (_, parts) in merge_rules.MAXIMAL_2.items():
-        if "coord" not in name and name != "exact_canonical_fingerprint":
-            names = parts.split()
-            out.append(f"select '{name}' as family, {' || chr(124) || '.join(names)} as key from k where {' and '.join(n + ' is not null' for n in names)}")
+        names = parts.split()
+        out.append(f"select '{name}' as family, {' || chr(124) || '.join(names)} as key from k where {' and '.join(n + ' is not null' for n in names)}")
     return " union all ".join(out)
 
 
+_TIME_SQL = r"""case when contains(tm, 'noon') then 'noon' when contains(tm, 'midnight') then 'midnight' else nullif(trim(regexp_replace(regexp_extract(tm, '\b(?:(?:[01]?\d|2[0-3])(?::[0-5]\d){1,2}|(?:[01]?\d|2[0-3])[0-5]\d)\b'), '[^a-z0-9]+', ' ', 'g')), '') end"""
+
 SQL = {
     "merge_family_groups": f"""with c as (select * exclude (event_id) from compact_record union all by name select * from compact_partner),
-        r as (select source_name as ss, lower(trim(source_native_id)) as nat, case when lower(trim(date_precision)) in ('day', 'exact_day') then cast(try_cast(date_iso as date) as varchar) end as date, case when length(time_key) = 4 then substr(time_key, 1, 2) || ':' || substr(time_key, 3, 2) end as time,
-              {clean_sql('location_key')} as l, {clean_sql('type_key')} as t, {clean_sql("array_to_string(string_split(location_key, ' ')[:2], ' ')")} as ci, {clean_sql('location_region_key')} as st, {clean_sql('location_country_key')} as co,
-              case when lower(trim(coordinate_source)) in ('source_coordinates', 'geocoded_city', 'map_square') and not isnan(lat) and not isnan(lon) then concat_ws(',', cast(trunc(case when not isnan(lat) then lat end / 0.05) as int), cast(trunc(case when not isnan(lon) then lon end / 0.05) as int)) end as cell from c),
-        k as (select ss, case when length(nat) >= 3 and nat not in ('none', 'null', 'unknown', 'n/a', 'test', '000', '0000') then nat end as native, date, time, cell, {_KEY('l')} as place, {_KEY('t')} as type, {_KEY('ci')} as city, {_KEY('st')} as state, {_KEY('co')} as country from r),
+        r as (select source_name as ss, source_native_id as nat, lower(trim(date_precision)) in ('day', 'exact_day') as strong, cast(try_cast(date_iso as date) as varchar) as day, case when length(time_key) = 4 then substr(time_key, 1, 2) || ':' || substr(time_key, 3, 2) end as tm,
+              {clean_sql('location_key')} as l, {clean_sql('type_key')} as t, {clean_sql("array_to_string(string_split(location_key, ' ')[:2], ' ')")} as ci, {clean_sql('location_region_key')} as st, {clean_sql('location_country_key')} as co, {clean_sql('summary')} as d,
+              regexp_replace(lower(trim(coordinate_source)), '[^a-z0-9]+', ' ', 'g') in ('raw latlong', 'source coordinates', 'location coordinates') and not isnan(lat) and not isnan(lon) as sure, lat, lon from c),
+        n as (select *, {_KEY('nat')} as native_key, {_KEY('t')} as type, {_KEY('l')} as l_key, {_KEY('d')} as d_key, {_KEY('tm')} as t_key from r),
+        k as (select {_KEY('ss')} as ss, case when length(native_key) >= 3 and native_key not in ('none', 'null', 'unknown', 'n a', 'na', '000', '999') then native_key end as native, case when strong then day end as date, {_TIME_SQL} as time,
+              {_place_sql("coalesce(l, nullif(concat_ws(', ', ci, st, co), ''))")} as place, {_place_sql('ci')} as city, {_place_sql('st')} as state, {_place_sql('co')} as country, type, case when type not in ('unknown', 'other', 'sighting', 'ufo', 'nuforc', 'ufodna', 'nicap', 'brazilgov') then type end as kind,
+              case when sure then round_even(cast(lat as decimal(18, 12)), 3) || ',' || round_even(cast(lon as decimal(18, 12)), 3) end as coord, case when sure then cast(trunc(lat / 0.05) as int) || ',' || cast(trunc(lon / 0.05) as int) end as cell,
+              case when day is not null and l_key is not null and d_key is not null then day || chr(10) || l_key || chr(10) || d_key || chr(10) || coalesce(t_key, '') end as fingerprint from n),
         f as ({_families_sql()}), g as (select family, key, count(*) as n from f group by 1, 2 having count(*) > 1) select family, count(*) as groups, sum(n) as records, sum(n - 1) as removable from g group by 1""",
     "time_token_classes": """with t as (select lower(trim(time_raw)) as x from canonical_input) select case when regexp_matches(x, '^(?:at )?(?:[01]?\\d|2[0-3])[:h.][0-5]\\d(?:[:.]\\d+)*\\s*(?:[ap]\\.?m\\.?)?$|^(?:[01]\\d|2[0-3])[0-5]\\d(?: hrs)?$|^\\d{1,2}\\s*[ap]\\.?m\\.?$') then 'exact'
         when regexp_matches(x, '^(?:approx|about|around|circa|~)|dawn|dusk|night|evening|morning|noon|afternoon') then 'fuzzy' when regexp_matches(x, '^\\d{1,2}(?:\\s*o''?clock)?$') then 'ambiguous' else 'none' end as class, count(*) as n from t group by 1""",

@@ -105,7 +105,7 @@ def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(sequence.segments(r, ["source", "craft"], ["day"]))
 
 
-_CHAIN_SQL = f"""{REPORTS_SQL}, nx as (select *, lead(event_id) over w as n_id, lead(lat) over w as n_lat, lead(lon) over w as n_lon from reports where source in ('skyledger', 'harbor_log') and day is not null and lat is not null
+_CHAIN_SQL = f"""{REPORTS_SQL}, nx as (select *, lead(event_id) over w as n_id, lead(lat) over w as n_lat, lead(lon) over w as n_lon from reports where day is not null and lat is not null
   window w as (partition by source, craft order by day, event_id)), seg as (select event_id || '->' || n_id as trace_id, event_id as from_id, n_id as to_id, lat as y1, lon as x1, n_lat as y2, lon + (((n_lon - lon + 180) - 360 * floor((n_lon - lon + 180) / 360)) - 180) as x2 from nx where n_id is not null)"""
 
 
@@ -264,15 +264,15 @@ SQL = {
     "interval_order": "with x as (select cast(o_orderdate as date) as a, cast(o_orderdate as date) + 30 as b, cast(l_shipdate as date) - 2 as c, cast(l_shipdate as date) + 2 as d from lineitem join orders on l_orderkey = o_orderkey) select case when a is null or c is null then 'unknown' when b < c then 'ordered' when d < a then 'reversed' else 'unknown' end as state, count(*) as n from x group by 1",
     "interval_state": f"with {_ORDERS_SQL}, x as (select event_id as e, (day - date '1970-01-01') as t, 9500 + event_id % 700 as a, 9900 + event_id % 700 as b from od) select case when e % 11 = 0 then 'unknown' when (t >= a + 15 and t <= b - 15) or (t >= 10815 and t <= 11185) then 'active' when (t >= a - 15 and t <= b + 15) or (t >= 10785 and t <= 11215) then 'unknown' else 'inactive' end as state, count(*) as n from x group by 1",
     "day_window_radius_join": f"with {REPORTS_SQL}, m as (select * from reports where lat is not null and day is not null), j as (select l.event_id as left_id, r.event_id as right_id, l.day - r.day as lag, {haversine_sql('l.lat', 'l.lon', 'r.lat', 'r.lon')} as km from m l, m r where l.source = 'skyledger' and r.source = 'nightwatch_club' and abs(l.day - r.day) <= 400) select left_id, right_id, lag, round(km, 4) as km, case when lag < 0 then 'before' when lag > 0 then 'after' else 'same' end as phase from j where km <= 500",
-    "first_later_day_nearest": f"with {REPORTS_SQL}, m as (select * from reports where lat is not null and day is not null and source = 'skyledger'), j as (select l.event_id as from_id, r.event_id as to_id, r.day - l.day as gap, {haversine_sql('l.lat', 'l.lon', 'r.lat', 'r.lon')} as km from m l join m r on r.day - l.day between 1 and 365), k as (select *, row_number() over (partition by from_id order by gap, km, to_id) as k from j where km <= 300) select from_id, to_id, gap, round(km, 4) as km from k where k = 1",
+    "first_later_day_nearest": f"with {REPORTS_SQL}, m as (select * from reports where lat is not null and day is not null), j as (select l.event_id as from_id, r.event_id as to_id, r.day - l.day as gap, {haversine_sql('l.lat', 'l.lon', 'r.lat', 'r.lon')} as km from m l join m r on r.day - l.day between 1 and 365), k as (select *, row_number() over (partition by from_id order by gap, km, to_id) as k from j where km <= 300) select from_id, to_id, gap, round(km, 4) as km from k where k = 1",
     "nearest_within": f"with {REPORTS_SQL}, {_FACILITIES}, j as (select event_id, min({haversine_sql('r.lat', 'r.lon', 'f.lat', 'f.lon')}) as km from reports r, f where r.lat is not null and abs(r.lat - f.lat) < 0.5 group by 1) select cast(floor(km) as int) as km, count(*) as n from j where km <= 50 group by 1",
     "facility_classes": f"with {REPORTS_SQL}, {_FACILITIES}, j as (select event_id, facility_source as right_id, min({haversine_sql('r.lat', 'r.lon', 'f.lat', 'f.lon')}) as km from reports r, f where r.lat is not null and abs(r.lat - f.lat) < 2.5 group by 1, 2) select right_id, case when km <= 25 then 'near' else 'comparison' end as lane, count(*) as n from j where km <= 25 or km between 100 and 250 group by 1, 2",
-    "segment_crossings": f"""with {_CHAIN_SQL.replace('lead(lon) over w as n_lon from', 'lead(lon) over w as n_lon, lead(day) over w as n_day from').replace('as x2 from nx', 'as x2, abs(n_day - day) as gap from nx')}, g as (select * from seg where gap < 200)
-        select a.trace_id as a, b.trace_id as b from g a join g b on a.trace_id < b.trace_id and a.from_id <> b.from_id and a.from_id <> b.to_id and a.to_id <> b.from_id and a.to_id <> b.to_id
+    "segment_crossings": f"""with {_CHAIN_SQL}, t as (select seg.* replace (x1 + turn as x1, x2 + turn as x2) from seg, (values (-360.0::double), (0.0), (360.0)) v(turn))
+        select distinct a.trace_id as a, b.trace_id as b from seg a join t b on a.trace_id < b.trace_id and a.from_id <> b.from_id and a.from_id <> b.to_id and a.to_id <> b.from_id and a.to_id <> b.to_id
         where ((b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1)) * ((b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1)) < 0 and ((a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1)) * ((a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1)) < 0""",
-    "point_to_segment": f"""with {_CHAIN_SQL}, q as (select trace_id, place_id as id, cos(radians(p.lat)) * 111.195 as k, (((x1 - p.lon + 180) - 360 * floor((x1 - p.lon + 180) / 360)) - 180) as dx1, (y1 - p.lat) * 111.195 as ay, (y2 - p.lat) * 111.195 as b_y, x2 - x1 as w from seg, place_ref p where abs(x2 - x1) < 8 and abs(y2 - y1) < 8),
+    "point_to_segment": f"""with {_CHAIN_SQL}, q as (select trace_id, place_id as id, cos(radians(p.lat)) * 111.195 as k, x1 + turn - p.lon as dx1, (y1 - p.lat) * 111.195 as ay, (y2 - p.lat) * 111.195 as b_y, x2 - x1 as w from seg, place_ref p, (values (-360.0::double), (0.0), (360.0)) v(turn)),
         r as (select trace_id, id, dx1 * k as ax, ay, dx1 * k + w * k as bx, b_y from q), t as (select *, (bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay) as l from r), u as (select *, case when l > 0 then greatest(0, least(1, -(ax * (bx - ax) + ay * (b_y - ay)) / l)) else 0 end as f from t),
-        v as (select trace_id, id, sqrt(pow(ax + f * (bx - ax), 2) + pow(ay + f * (b_y - ay), 2)) as km from u) select distinct trace_id, id, round(km, 4) as km from v where km <= 40""",
+        v as (select trace_id, id, sqrt(pow(ax + f * (bx - ax), 2) + pow(ay + f * (b_y - ay), 2)) as km from u) select trace_id, id, round(min(km), 4) as km from v where km <= 40 group by 1, 2""",
     "equal_area_grid_counts": f"with {REPORTS_SQL} select 'ea12x24:' || greatest(0, least(11, cast(floor((sin(radians(lat)) + 1) / 2 * 12) as bigint))) || ':' || greatest(0, least(23, cast(floor(((case when lon = 180 then -180 else lon end) + 180) / 360 * 24) as bigint))) as cell, count(*) as n from reports where lat is not null group by 1",
     "viewport_clusters": f"with {REPORTS_SQL}, p as (select event_id, cast(floor((lon + 180) / 360 * 2048 / 40) as bigint) as gx, radians(greatest(-85.05112878, least(85.05112878, lat))) as phi from reports where lat is not null) select gx, cast(floor((1 - ln(tan(phi) + 1 / cos(phi)) / 3.141592653589793) / 2 * 2048 / 40) as bigint) as gy, count(*) as n, min(event_id) as representative from p group by 1, 2",
     "sunset_minutes": f"""with {EVENTS_SQL}, g as (select event_id, lat, lon, 2 * 3.141592653589793 / 365 * (dayofyear(day) - 1) as g, radians(lat) as phi from ev), e as (select *, 229.18 * (0.000075 + 0.001868 * cos(g) - 0.032077 * sin(g) - 0.014615 * cos(2 * g) - 0.040849 * sin(2 * g)) as eq,

@@ -41,7 +41,7 @@ def rolling_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.rolling_bins(_yearly(spark, sf_dir), "year", 1, "n")
 
 
-def burst_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+def burst_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").withColumn("month", F.year("o_orderdate") * 12 + F.month("o_orderdate"))
     n = o.groupBy("month").agg(F.count("*").alias("n"))
     found = cohort.bursts(n, "month", "n", least=10, least_mean=5.0, ratio=1.02, sigmas=0.2)
@@ -147,7 +147,7 @@ def mc_permutation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "cohort_previous_period": _cohort("previous_equal_duration"), "cohort_other_dates": _cohort("other_dates_balanced"), "cohort_full_overlap": _cohort("full_catalog"),
-    "source_balanced_share": source_balanced_share, "adaptive_bins": adaptive_bins, "rolling_bins": rolling_bins, "burst_months": burst_hours, "eligibility_funnel": eligibility_funnel,
+    "source_balanced_share": source_balanced_share, "adaptive_bins": adaptive_bins, "rolling_bins": rolling_bins, "burst_months": burst_months, "eligibility_funnel": eligibility_funnel,
     "cmh_or": cmh_or, "standardized_difference": standardized_difference, "proportion_intervals": proportion_intervals, "bh_qvalues": bh_qvalues, "crosstab_residuals": crosstab_residuals,
     "top_categories_pooled": top_categories_pooled, "cube_pairs_with_margins": cube_pairs_with_margins, "cohort_ab_overlap": cohort_ab_overlap, "cohort_ab_domain": cohort_ab_domain,
     "freq_quantile": freq_quantile, "multilabel_mask_counts": multilabel_mask_counts, "loo_source_range": loo_source_range, "strata_fallback": strata_fallback, "percentiles_by_type": percentiles_by_type,
@@ -186,7 +186,7 @@ SQL = {
         w as (select case when span <= 40 or (span <= 80 and years / span >= 0.25) then 1 when span <= 300 and years / span >= 0.1 then 5 else 10 end as width from s)
         select cast(floor(year / width) * width as bigint) as bin_start, width, sum(n) as n from y, w group by 1, 2""",
     "rolling_bins": f"with {REPORTS_SQL}, y as (select year(day) as year, count(*) as n from reports where day is not null group by 1) select year, n, sum(n) over (order by year range between 4 preceding and current row) as rolling from y",
-    "burst_months": """with m as (select year(o_orderdate) * 12 + month(o_orderdate) as month, count(*) as n from orders where (year(o_orderdate) * 12 + month(o_orderdate)) % 7 <> 0 or o_orderkey % 3 = 0 group by 1),
+    "burst_months": """with m as (select year(o_orderdate) * 12 + month(o_orderdate) as month, count(*) as n from orders group by 1),
         t as (select *, coalesce(sum(n) over (order by month range between 5 preceding and 1 preceding), 0) / 5 as mean, sum(n) over () as total, min(month) over () as first from m)
         select month, n, round(mean, 6) as trailing_mean, round((n - mean) / sqrt(mean), 6) as deviation from t
         where total >= 200 and month >= first + 5 and n >= 10 and mean >= 5 and n / mean >= 1.02 and (n - mean) / sqrt(mean) >= 0.2""",

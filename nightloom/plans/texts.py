@@ -186,5 +186,5 @@ SQL = {
     "json_round_trip": "select n_nationkey, n_name, n_regionkey from nation",
     "cache_latest": "select user_id, event_type, max(event_id) as event_id, arg_max(value, event_id) as value from events group by 1, 2",
     "dictionary_codes": "select p_partkey, dense_rank() over (order by p_brand) - 1 as p_brand_code, dense_rank() over (order by p_type) - 1 as p_type_code from part",
-    "filtered_segments": f"with {EVENTS_SQL}, f as (select * from ev where value > 0 and event_id % 3 = 0), n as (select event_id, day, lead(event_id) over w as n_id, lead(day) over w as n_day from f window w as (partition by user_id order by ts, cast(event_id as varchar))) select event_id || '->' || n_id as trace_id, abs(n_day - day) as gap_days from n where n_id is not null",
+    "filtered_segments": f"with {EVENTS_SQL}, f as (select * from ev where value > 0), n as (select event_id, day, lead(event_id) over w as n_id, lead(day) over w as n_day from f window w as (partition by user_id order by ts, cast(event_id as varchar))) select event_id || '->' || n_id as trace_id, abs(n_day - day) as gap_days from n where n_id is not null",
 }
