@@ -86,18 +86,50 @@ def facility_lane(distances: DataFrame, category: str, stratum: str) -> DataFram
     return mantel_haenszel(full, [category])
 
 
-def crossing_cells(crossings: DataFrame) -> DataFrame:
-    """cell, crossings, connectors, share, tier of crossing points (lat, lon, a, b) by equal-area cell.
+# Least crossings, connectors and time bands, and greatest share of one connector, of the tiers of a cell.
+CROSSING_TIERS = (("repeated_candidate", 20, 10, 3, 0.35), ("limited_candidate", 5, 4, 0, 0.60))
 
-    share is the largest part of a cell's crossings that one connector takes.
+
+def connector_cells(segments: DataFrame, buffer_km: float = 0.0, rows: int = 12, columns: int = 24) -> DataFrame:
+    """cell, connector, from_id, to_id: equal-area cells that segments run through, sampled three times a cell, without ``buffer_km`` at either end."""
+    dx, dy = F.col("to_lon") - F.col("from_lon"), F.col("to_lat") - F.col("from_lat")
+    km = haversine_km(F.col("from_lat"), F.col("from_lon"), F.col("to_lat"), F.col("to_lon"))
+    rise = F.abs(F.sin(F.radians("to_lat")) - F.sin(F.radians("from_lat"))) / 2 * rows
+    s = segments.select("trace_id", "from_id", "to_id", "from_lat", "from_lon", dx.alias("_dx"), dy.alias("_dy"), F.try_divide(F.lit(buffer_km), km).alias("_trim"), F.greatest(F.lit(2), F.ceil(F.greatest(F.abs(dx) / 360 * columns, rise) * 3)).alias("_n")).where("_trim < 0.5")
+    at = s.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n").cast("long"))))
+    f = F.col("_trim") + (1 - 2 * F.col("_trim")) * F.col("_i") / F.col("_n")
+    lon = F.pmod(F.col("from_lon") + F.col("_dx") * f + 180.0, F.lit(360.0)) - 180.0
+    return at.select(equal_area_cell(F.col("from_lat") + F.col("_dy") * f, lon, rows, columns).alias("cell"), F.col("trace_id").alias("connector"), "from_id", "to_id").distinct()
+
+
+def cell_opportunities(cells: DataFrame) -> DataFrame:
+    """cell, opportunities: pairs of a cell's connectors (``connector_cells``) that share no end, counted without forming any."""
+    pairs = lambda n: n * (n - 1) / 2
+    n = cells.groupBy("cell").agg(pairs(F.count("*")).alias("_all"))
+    ends = cells.select("cell", F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("end")).groupBy("cell", "end").agg(F.count("*").alias("_n"))
+    shared = ends.groupBy("cell").agg(F.sum(pairs(F.col("_n"))).alias("_shared"))
+    return n.join(shared, "cell").select("cell", F.greatest(F.lit(0.0), F.col("_all") - F.col("_shared")).cast("long").alias("opportunities"))
+
+
+def crossing_cells(crossings: DataFrame, bands: DataFrame, opportunities: DataFrame) -> DataFrame:
+    """cell, crossings, connectors, bands, share, tier, opportunities, lift of crossing points (lat, lon, a, b) by equal-area cell.
+
+    ``bands``: connector, band, the periods of each connector; ``opportunities`` by
+    cell. share is the largest part of a cell's crossings that one connector takes;
+    lift is (crossings + 0.5) / (expected + 0.5) at the rate over all cells.
     """
     at = crossings.select(equal_area_cell(F.col("lat"), F.col("lon")).alias("cell"), "a", "b")
     long = at.select("cell", F.explode(F.array("a", "b")).alias("connector")).groupBy("cell", "connector").agg(F.count("*").alias("n"))
-    by = long.groupBy("cell").agg(F.count("*").alias("connectors"), F.max("n").alias("most"))
-    total = at.groupBy("cell").agg(F.count("*").alias("crossings"))
-    out = total.join(by, "cell").withColumn("share", F.col("most") / F.col("crossings"))
-    tier = F.when((F.col("crossings") >= 20) & (F.col("connectors") >= 10) & (F.col("share") <= 0.35), "repeated").when((F.col("crossings") >= 5) & (F.col("connectors") >= 4) & (F.col("share") <= 0.60), "limited").otherwise("descriptive")
-    return out.select("cell", "crossings", "connectors", "share", tier.alias("tier"))
+    by = long.groupBy("cell").agg(F.count("*").alias("connectors"), F.max("n").alias("_most"), (F.sum("n") / 2).cast("long").alias("crossings"))
+    period = long.join(bands, "connector").groupBy("cell").agg(F.countDistinct("band").alias("bands"))
+    out = by.join(period, "cell", "left").join(opportunities, "cell", "left").fillna(0, ["bands", "opportunities"]).withColumn("share", F.col("_most") / F.col("crossings"))
+    # one row each: the rate over all cells, those without a crossing included
+    whole = opportunities.agg(F.sum("opportunities").alias("_o")).crossJoin(crossings.agg(F.count("*").alias("_c")))
+    tier = F.lit("descriptive_only")
+    for name, least, connectors, periods, share in reversed(CROSSING_TIERS):
+        tier = F.when((F.col("crossings") >= least) & (F.col("connectors") >= connectors) & (F.col("bands") >= periods) & (F.col("share") <= share), name).otherwise(tier)
+    lift = (F.col("crossings") + 0.5) / (F.col("opportunities") * F.try_divide("_c", "_o") + 0.5)
+    return out.crossJoin(F.broadcast(whole)).select("cell", "crossings", "connectors", "bands", "share", tier.alias("tier"), "opportunities", lift.alias("lift"))
 
 
 def majority_vote(votes: DataFrame, group: str, value: str) -> DataFrame:

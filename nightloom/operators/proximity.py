@@ -140,27 +140,43 @@ def line_cells(x1: Column, y1: Column, x2: Column, y2: Column, size: float) -> C
     return F.flatten(F.transform(F.sequence(F.floor((low + 90) / size), F.floor((high + 90) / size)), row))
 
 
-def crossings(segments: DataFrame, size: float = 10.0) -> DataFrame:
-    """a, b: pairs of segments, lesser id first, that cross inside both and share no end; met in common grid cells only.
-
-    One side is also laid a turn to the west and to the east, since segments over
-    the date line run past 180. A pair is told in the least of its common cells.
+def crossings(segments: DataFrame, size: float = 10.0, buffer_km: float = 0.0, least_angle: float = 0.0) -> DataFrame:
+    """a, b, lat, lon, angle: where two segments, lesser id first, cross inside both; they share no end.
+
+    A crossing nearer than ``buffer_km`` to an end of either segment, along it, or
+    at less than ``least_angle`` degrees is left out. Segments meet in common grid
+    cells only: one side is also laid a turn to the west and to the east, since
+    segments over the date line run past 180, and a pair is told in the least of
+    its common cells.
     """
     s = segments.select("trace_id", "from_id", "to_id", F.col("from_lat").alias("y1"), F.col("from_lon").alias("x1"), F.col("to_lat").alias("y2"), F.col("to_lon").alias("x2"))
+    s = s.withColumn("km", haversine_km(F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2")))
     turned = s.withColumn("_turn", F.explode(F.array(*map(F.lit, (-360.0, 0.0, 360.0))))).withColumns({c: F.col(c) + F.col("_turn") for c in ("x1", "x2")}).drop("_turn").where("least(x1, x2) <= 360 and greatest(x1, x2) >= -360")
 
     def laid(side: DataFrame, name: str) -> DataFrame:
         out = side.withColumn("cells", line_cells(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), size)).withColumn("_cell", F.explode("cells"))
         return out.select([F.col(c).alias(f"{name}_{c}") for c in out.columns])
 
-    def side(px: str, py: str, qx: str, qy: str, rx: str, ry: str) -> Column:
-        return (F.col(qx) - F.col(px)) * (F.col(ry) - F.col(py)) - (F.col(qy) - F.col(py)) * (F.col(rx) - F.col(px))
-
     pairs = laid(s, "a").join(laid(turned, "b"), F.col("a__cell") == F.col("b__cell")).where("a_trace_id < b_trace_id and a_from_id <> b_from_id and a_from_id <> b_to_id and a_to_id <> b_from_id and a_to_id <> b_to_id")
-    d1, d2 = side("b_x1", "b_y1", "b_x2", "b_y2", "a_x1", "a_y1"), side("b_x1", "b_y1", "b_x2", "b_y2", "a_x2", "a_y2")
-    d3, d4 = side("a_x1", "a_y1", "a_x2", "a_y2", "b_x1", "b_y1"), side("a_x1", "a_y1", "a_x2", "a_y2", "b_x2", "b_y2")
-    met = pairs.where((d1 * d2 < 0) & (d3 * d4 < 0)).where(F.col("a__cell") == F.array_min(F.array_intersect("a_cells", "b_cells")))
-    return met.select(F.col("a_trace_id").alias("a"), F.col("b_trace_id").alias("b"))
+    rx, ry, sx, sy = F.col("a_x2") - F.col("a_x1"), F.col("a_y2") - F.col("a_y1"), F.col("b_x2") - F.col("b_x1"), F.col("b_y2") - F.col("b_y1")
+    px, py, flat = F.col("b_x1") - F.col("a_x1"), F.col("b_y1") - F.col("a_y1"), rx * sy - ry * sx
+    # fractions of the lengths at which they meet, times flat: inside both if between 0 and flat
+    t, u = px * sy - py * sx, px * ry - py * rx
+    inside = pairs.where((F.abs(flat) > 1e-10) & (t * (flat - t) > 0) & (u * (flat - u) > 0)).where(F.col("a__cell") == F.array_min(F.array_intersect("a_cells", "b_cells")))
+
+    def step(df: DataFrame, **columns: Column) -> DataFrame:
+        """Columns computed once: written into each other, they would be repeated beyond what compiles."""
+        return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+    met = step(inside, t=F.try_divide(t, flat), u=F.try_divide(u, flat)).where("t > 1e-10 and t < 1 - 1e-10 and u > 1e-10 and u < 1 - 1e-10")
+    if buffer_km > 0:
+        met = met.where(f"least(t, 1 - t) * a_km >= {buffer_km} and least(u, 1 - u) * b_km >= {buffer_km}")
+    met = step(met, lat=F.col("a_y1") + F.col("t") * ry, lon=F.pmod(F.col("a_x1") + F.col("t") * rx + 180.0, F.lit(360.0)) - 180.0)
+    # a degree of longitude shrinks towards the poles, to a twentieth at most
+    met = step(met, k=F.pow(F.greatest(F.lit(0.05), F.abs(F.cos(F.radians("lat")))), 2))
+    cosine = F.try_divide(rx * sx * F.col("k") + ry * sy, F.sqrt(rx * rx * F.col("k") + ry * ry) * F.sqrt(sx * sx * F.col("k") + sy * sy))
+    met = step(met, angle=F.degrees(F.acos(F.least(F.lit(1.0), F.abs(cosine)))))
+    return met.where(F.col("angle") + 1e-10 >= least_angle).select(F.col("a_trace_id").alias("a"), F.col("b_trace_id").alias("b"), "lat", "lon", "angle")
 
 
 def day_forest(points: DataFrame, km: float, size: float = 5.0) -> DataFrame:

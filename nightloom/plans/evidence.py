@@ -35,11 +35,6 @@ def facility_lane_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evidence.facility_lane(d.join(r, d["left_id"] == r["event_id"]).select("craft", "source", "km"), "craft", "source"), 4)
 
 
-def crossing_cell_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = stream_events(spark, sf_dir).select("lat", "lon", (F.col("event_id") % 37).alias("a"), (F.col("event_id") % 41 + 100).alias("b"))
-    return _rounded(evidence.crossing_cells(e))
-
-
 def craft_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "event_provenance").select("event_id", "canonical_input_id").distinct()
     r = reports(spark, sf_dir).select(F.col("event_id").alias("canonical_input_id"), "craft")
@@ -115,12 +110,11 @@ def merged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    craft_exposure, craft_cooccurrence, facility_lane_odds, crossing_cell_tiers, craft_votes, token_crosstab, lane_cooccurrence, period_membership, reporting_delays, lookup_worklist, category_connections,
+    craft_exposure, craft_cooccurrence, facility_lane_odds, craft_votes, token_crosstab, lane_cooccurrence, period_membership, reporting_delays, lookup_worklist, category_connections,
     control_windows, polygon_members, raw_field_pairs, share_tokens, conflict_free_keys, merged_rows,
 )}
 
 _NIGHT_SQL = f"{REPORTS_SQL}, m as (select event_id as id, day, lat, lon, craft, source from reports where lat is not null and day is not null and craft is not null)"
-_CELL = "'ea12x24:' || greatest(0, least(11, cast(floor((sin(radians(lat)) + 1) / 2 * 12) as bigint))) || ':' || greatest(0, least(23, cast(floor((lon + 180) / 360 * 24) as bigint)))"
 
 
 def _ring_sql() -> str:
@@ -138,8 +132,6 @@ SQL = {
         q as (select craft, count(*) as strata, sum(x) as o, sum(n1 * m / n) as e, sum(case when n > 1 then n1 * n0 * m * (n - m) / (n * n * (n - 1)) else 0 end) as v, sum(x * d / n) as r, sum(b * c / n) as s, sum((x + d) / n * x * d / n) as pr, sum((x + d) / n * b * c / n + (b + c) / n * x * d / n) as ps, sum((b + c) / n * b * c / n) as qs, sum(n) as total from s group by 1),
         z as (select *, case when v > 0 then (o - e) / sqrt(v) else 0 end as z, sqrt(pr / nullif(2 * r * r, 0) + ps / nullif(2 * r * s, 0) + qs / nullif(2 * s * s, 0)) as se from q)
         select craft, strata, round(z, 4) as z, round({_P_SQL}, 4) as p, round(case when s > 0 then r / s end, 4) as odds_ratio, round(case when r > 0 and s > 0 then exp(ln(r / s) - 1.959963984540054 * se) end, 4) as or_lower, round(case when r > 0 and s > 0 then exp(ln(r / s) + 1.959963984540054 * se) end, 4) as or_upper, round(sqrt(z * z / total), 4) as cramers_v from z""",
-    "crossing_cell_tiers": f"""with {EVENTS_SQL}, c as (select {_CELL} as cell, event_id % 37 as a, event_id % 41 + 100 as b from ev), l as (select cell, x, count(*) as n from (select cell, a as x from c union all select cell, b from c) group by 1, 2), k as (select cell, count(*) as connectors, max(n) as most from l group by 1), t as (select cell, count(*) as crossings from c group by 1)
-        select cell, crossings, connectors, round(most / crossings, 5) as share, case when crossings >= 20 and connectors >= 10 and most / crossings <= 0.35 then 'repeated' when crossings >= 5 and connectors >= 4 and most / crossings <= 0.6 then 'limited' else 'descriptive' end as tier from t join k using (cell)""",
     "craft_votes": f"""with {REPORTS_SQL}, v as (select p.event_id, craft, count(*) as n from (select distinct event_id, canonical_input_id from event_provenance) p join reports r on r.event_id = p.canonical_input_id where craft is not null group by 1, 2), t as (select *, max(n) over (partition by event_id) as m, count(*) over (partition by event_id) as k from v), q as (select event_id, m, max(k) as k, count(*) filter (n = m) as leaders, max(case when n = m then craft end) as c from t group by 1, 2)
         select event_id, case when leaders = 1 then c end as craft, m as votes, case when leaders > 1 then 'blocked' when k > 1 then 'conflict' else 'agreed' end as status from q""",
     "token_crosstab": "with t as (select distinct input_id, unnest(tokens) as w from compact_record) select a.w as things, b.w as colours, count(*) as n from t a join t b using (input_id) where a.w in ('beam', 'horses', 'whistle', 'siren') and b.w in ('amber', 'teal', 'white', 'silver', 'copper') group by 1, 2",

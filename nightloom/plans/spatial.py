@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightloom.functions.geo import equal_area_cell, mercator_pixel, solar_minutes
-from nightloom.operators import calendar, dedupe, graph, proximity, sequence
+from nightloom.operators import calendar, dedupe, evidence, graph, proximity, sequence
 from nightloom.plans.base import EVENTS_SQL, REPORTS_SQL, haversine_sql, reports, stream_events
 from nightloom.plans.statistics import _rounded
 from nightloom.session import cut, table
@@ -105,12 +105,25 @@ def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(sequence.segments(r, ["source", "craft"], ["day"]))
 
 
-_CHAIN_SQL = f"""{REPORTS_SQL}, nx as (select *, lead(event_id) over w as n_id, lead(lat) over w as n_lat, lead(lon) over w as n_lon from reports where day is not null and lat is not null
-  window w as (partition by source, craft order by day, event_id)), seg as (select event_id || '->' || n_id as trace_id, event_id as from_id, n_id as to_id, lat as y1, lon as x1, n_lat as y2, lon + (((n_lon - lon + 180) - 360 * floor((n_lon - lon + 180) / 360)) - 180) as x2 from nx where n_id is not null)"""
+_CHAIN_SQL = f"""{REPORTS_SQL}, nx as (select *, lead(event_id) over w as n_id, lead(lat) over w as n_lat, lead(lon) over w as n_lon, lead(day) over w as n_day from reports where day is not null and lat is not null
+  window w as (partition by source, craft order by day, event_id)), seg as (select event_id || '->' || n_id as trace_id, event_id as from_id, n_id as to_id, lat as y1, lon as x1, n_lat as y2, lon + (((n_lon - lon + 180) - 360 * floor((n_lon - lon + 180) / 360)) - 180) as x2, day as d1, n_day as d2, {haversine_sql('lat', 'lon', 'n_lat', 'n_lon')} as km from nx where n_id is not null)"""
+
+_CROSS_SQL = f"""{_CHAIN_SQL}, t as (select seg.* replace (x1 + turn as x1, x2 + turn as x2) from seg, (values (-360.0::double), (0.0), (360.0)) v(turn)),
+        q as (select a.trace_id as a, b.trace_id as b, a.x1, a.y1, a.km as km1, b.km as km2, a.x2 - a.x1 as rx, a.y2 - a.y1 as ry, b.x2 - b.x1 as sx, b.y2 - b.y1 as sy, b.x1 - a.x1 as px, b.y1 - a.y1 as py from seg a join t b on a.trace_id < b.trace_id and a.from_id <> b.from_id and a.from_id <> b.to_id and a.to_id <> b.from_id and a.to_id <> b.to_id),
+        u as (select *, (px * sy - py * sx) / (rx * sy - ry * sx) as t, (px * ry - py * rx) / (rx * sy - ry * sx) as u from q where abs(rx * sy - ry * sx) > 1e-10), i as (select *, y1 + t * ry as lat, x1 + t * rx as x from u where least(t, u) > 1e-10 and greatest(t, u) < 1 - 1e-10 and least(t, 1 - t) * km1 >= 1 and least(u, 1 - u) * km2 >= 1),
+        j as (select *, x - 360 * floor((x + 180) / 360) as lon, greatest(0.05, abs(cos(radians(lat)))) as k from i), n as (select a, b, lat, lon, degrees(acos(least(1.0, abs(rx * sx * k * k + ry * sy) / (sqrt(rx * rx * k * k + ry * ry) * sqrt(sx * sx * k * k + sy * sy))))) as angle from j), met as (select * from n where angle + 1e-10 >= 15)"""
+_EQUAL_AREA = "'ea12x24:' || greatest(0, least(11, cast(floor((sin(radians(lat)) + 1) / 2 * 12) as bigint))) || ':' || greatest(0, least(23, cast(floor((lon + 180) / 360 * 24) as bigint)))"
 
 
 def segment_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return proximity.crossings(_chain(spark, sf_dir)).select("a", "b")
+    return _rounded(proximity.crossings(_chain(spark, sf_dir), buffer_km=1.0, least_angle=15.0), 4)
+
+
+def crossing_cell_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chain = _chain(spark, sf_dir)
+    met = cut(proximity.crossings(chain, buffer_km=1.0, least_angle=15.0).select("a", "b", "lat", "lon"))
+    bands = chain.select(F.col("trace_id").alias("connector"), F.explode(F.array_distinct(F.array(*[F.floor(F.year(c) / 5) for c in ("from_day", "to_day")]))).alias("band"))
+    return _rounded(evidence.crossing_cells(met, bands, cut(evidence.cell_opportunities(evidence.connector_cells(chain, 1.0)))))
 
 
 def point_to_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +241,7 @@ def source_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     segments_lead_gap_bucket, od_rollup_levels, segments_global, same_day_chain, direction_sectors, systematic_sample, hop_traversal_k, interval_order, interval_state, day_window_radius_join, first_later_day_nearest,
-    nearest_within, facility_classes, segment_crossings, point_to_segment, equal_area_grid_counts, viewport_clusters, sunset_minutes, day_forest, calendar_exposure_ratio, moon_phase_exposure,
+    nearest_within, facility_classes, segment_crossings, crossing_cell_tiers, point_to_segment, equal_area_grid_counts, viewport_clusters, sunset_minutes, day_forest, calendar_exposure_ratio, moon_phase_exposure,
     exact_dedupe_fingerprint, record_fingerprints, multi_key_components, candidate_scores, topk_per_band, primary_record, best_pairs, verdict_components, guarded_patches, gazetteer_unique, gazetteer_dominant, lane_priority_union, source_claims,
 )}
 
@@ -267,9 +280,16 @@ SQL = {
     "first_later_day_nearest": f"with {REPORTS_SQL}, m as (select * from reports where lat is not null and day is not null), j as (select l.event_id as from_id, r.event_id as to_id, r.day - l.day as gap, {haversine_sql('l.lat', 'l.lon', 'r.lat', 'r.lon')} as km from m l join m r on r.day - l.day between 1 and 365), k as (select *, row_number() over (partition by from_id order by gap, km, to_id) as k from j where km <= 300) select from_id, to_id, gap, round(km, 4) as km from k where k = 1",
     "nearest_within": f"with {REPORTS_SQL}, {_FACILITIES}, j as (select event_id, min({haversine_sql('r.lat', 'r.lon', 'f.lat', 'f.lon')}) as km from reports r, f where r.lat is not null and abs(r.lat - f.lat) < 0.5 group by 1) select cast(floor(km) as int) as km, count(*) as n from j where km <= 50 group by 1",
     "facility_classes": f"with {REPORTS_SQL}, {_FACILITIES}, j as (select event_id, facility_source as right_id, min({haversine_sql('r.lat', 'r.lon', 'f.lat', 'f.lon')}) as km from reports r, f where r.lat is not null and abs(r.lat - f.lat) < 2.5 group by 1, 2) select right_id, case when km <= 25 then 'near' else 'comparison' end as lane, count(*) as n from j where km <= 25 or km between 100 and 250 group by 1, 2",
-    "segment_crossings": f"""with {_CHAIN_SQL}, t as (select seg.* replace (x1 + turn as x1, x2 + turn as x2) from seg, (values (-360.0::double), (0.0), (360.0)) v(turn))
-        select distinct a.trace_id as a, b.trace_id as b from seg a join t b on a.trace_id < b.trace_id and a.from_id <> b.from_id and a.from_id <> b.to_id and a.to_id <> b.from_id and a.to_id <> b.to_id
-        where ((b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1)) * ((b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1)) < 0 and ((a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1)) * ((a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1)) < 0""",
+    "segment_crossings": f"with {_CROSS_SQL} select a, b, round(lat, 4) as lat, round(lon, 4) as lon, round(angle, 4) as angle from met",
+    "crossing_cell_tiers": f"""with {_CROSS_SQL}, pts as (select {_EQUAL_AREA} as cell, a, b from met), l as (select cell, x, count(*) as n from (select cell, a as x from pts union all select cell, b from pts) group by 1, 2),
+        k as (select cell, count(*) as connectors, max(n) as most from l group by 1), c as (select cell, count(*) as crossings from pts group by 1), p as (select cell, count(distinct band) as bands from l join (select trace_id as x, unnest([year(d1) // 5, year(d2) // 5]) as band from seg) using (x) group by 1),
+        e as (select *, 1 / km as f0, greatest(2, ceil(greatest(abs(x2 - x1) / 360 * 24, abs(sin(radians(y2)) - sin(radians(y1))) / 2 * 12) * 3)) as n from seg where 1 / km < 0.5),
+        g as (select trace_id, from_id, to_id, y1 + (y2 - y1) * (f0 + (1 - 2 * f0) * i / n) as lat, x1 + (x2 - x1) * (f0 + (1 - 2 * f0) * i / n) as x from e, range(0, 200) r(i) where i <= n), h as (select distinct {_EQUAL_AREA} as cell, trace_id, from_id, to_id from (select *, x - 360 * floor((x + 180) / 360) as lon from g)),
+        m as (select cell, sum(m * (m - 1) // 2) as shared from (select cell, u, count(*) as m from (select cell, from_id as u from h union all select cell, to_id from h where from_id <> to_id) group by 1, 2) group by 1),
+        o as (select cell, count(*) * (count(*) - 1) // 2 - any_value(shared) as opportunities from h join m using (cell) group by 1),
+        w as (select sum(opportunities) as o, (select count(*) from met) as c from o)
+        select cell, crossings, connectors, coalesce(bands, 0) as bands, round(most / crossings, 5) as share, case when crossings >= 20 and connectors >= 10 and bands >= 3 and most / crossings <= 0.35 then 'repeated_candidate' when crossings >= 5 and connectors >= 4 and most / crossings <= 0.6 then 'limited_candidate' else 'descriptive_only' end as tier,
+        cast(coalesce(opportunities, 0) as bigint) as opportunities, round((crossings + 0.5) / (coalesce(opportunities, 0) * (w.c / w.o) + 0.5), 5) as lift from c join k using (cell) left join p using (cell) left join o using (cell), w""",
     "point_to_segment": f"""with {_CHAIN_SQL}, q as (select trace_id, place_id as id, cos(radians(p.lat)) * 111.195 as k, x1 + turn - p.lon as dx1, (y1 - p.lat) * 111.195 as ay, (y2 - p.lat) * 111.195 as b_y, x2 - x1 as w from seg, place_ref p, (values (-360.0::double), (0.0), (360.0)) v(turn)),
         r as (select trace_id, id, dx1 * k as ax, ay, dx1 * k + w * k as bx, b_y from q), t as (select *, (bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay) as l from r), u as (select *, case when l > 0 then greatest(0, least(1, -(ax * (bx - ax) + ay * (b_y - ay)) / l)) else 0 end as f from t),
         v as (select trace_id, id, sqrt(pow(ax + f * (bx - ax), 2) + pow(ay + f * (b_y - ay), 2)) as km from u) select trace_id, id, round(min(km), 4) as km from v where km <= 40 group by 1, 2""",

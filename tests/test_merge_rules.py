@@ -29,7 +29,9 @@ def row(i, **k):
         ("maximal_v1", {"lat": 10.01, "lon": 0.01, "coordinate_source": "country_centroid"}, {"lat": 10.02, "lon": 0.02, "coordinate_source": "country_centroid"}, None),
         ("maximal_v1", {"coordinate_source": "source_coordinates"}, {"coordinate_source": "source_coordinates"}, None),
         ("maximal_v1", {"location": "Phoenix", "date_precision": "month"}, {"location": "phoenix", "date_precision": "month"}, None),
-        ("maximal_v2", {"city": "Phoenix", "state": "AZ"}, {"city": "phoenix", "state": "az"}, "medium"), ("maximal_v2", {"city": "Phoenix", "country": "USA"}, {"city": "phoenix", "country": "usa"}, None),
+        ("maximal_v2", {"city": "Phoenix", "state": "AZ"}, {"city": "phoenix", "state": "az"}, "medium"), ("maximal_v2", {"city": "Phoenix", "country": "USA", "location": "by the river"}, {"city": "phoenix", "country": "usa", "location": "at the mill"}, None),
+        ("maximal_v2", {"city": "Phoenix", "country": "USA"}, {"location": "Phoenix, United States of America"}, "low"), ("maximal_v2", {"city": "Phoenix", "country": "USA", "location": "a b", "type": "Light"}, {"city": "phoenix", "country": "us", "location": "c d", "type": "light"}, "medium"),
+        ("maximal_v2", {"city": "Phoenix", "country": "USA", "location": "a b", "type": "Other"}, {"city": "phoenix", "country": "us", "location": "c d", "type": "other"}, None), ("maximal_v3", {"city": "Unknown", "country": "USA", "location": "a b"}, {"city": "unknown", "country": "usa", "location": "c d"}, None),
         ("maximal_v3", {"city": "Phoenix", "country": "USA"}, {"city": "phoenix", "country": "usa", "state": "AZ"}, "low"), ("maximal_v3", {"city": "Phoenix", "country": "USA", "state": "OR"}, {"city": "phoenix", "country": "usa", "state": "AZ"}, None),
     ],
 )
@@ -44,6 +46,13 @@ def test_chain_takes_the_best_confidence(spark):
     assert {(r["id"], r["root"], r["confidence"]) for r in merge_rules.merge_records(df, "aggressive_v1").collect()} == {("a", "a", "high"), ("b", "a", "high"), ("c", "a", "high")}
 
 
+def test_keys_of_times_and_report_words(spark):
+    t = spark.createDataFrame([("about 21:30 pm or so",), ("0915 hrs",), ("8 p.m.",), ("shortly before noon",), ("evening",), (None,)], "t string")
+    assert [r[0] for r in t.select(merge_rules.time_key(F.col("t"))).collect()] == ["21 30 pm", "0915", "8 p m", "noon", None, None]
+    w = spark.createDataFrame([("Three lights hovering silently; the Triangular craft moved, A report of beams", None), (None, None)], "a string, b string")
+    assert [r[0] for r in w.select(merge_rules.report_tokens(F.col("a"), F.col("b"))).collect()] == [["three", "light", "hover", "silent", "triangle", "craft", "mov", "beam"], []]
+
+
 def test_similarity_and_score(spark):
     df = spark.createDataFrame([("red light seen", "red light seen"), ("red light", "blue moon"), ("", "x"), (None, "x"), ("a b c d", "a b c e")], "a string, b string")
     s = [round(r[0], 4) for r in df.select(merge_rules.text_similarity(F.col("a"), F.col("b"))).collect()]

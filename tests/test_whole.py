@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import shutil
+
 import numpy as np
 import pytest
 from oracle import rows_of, sql_rows
@@ -21,6 +23,7 @@ def dense(spark, sf_dir, tmp_path_factory):
     c = c.withColumns({"lat": 40 + h(900, 1) / 100, "lon": -100 + h(900, 2) / 100, "date_iso": F.date_add(F.lit("1990-01-01").cast("date"), h(900, 3).cast("int")).cast("string"), "shape_normalized": F.element_at(F.array(*map(F.lit, ["disk", "oval", "cigar", "light"])), (h(4, 4) + 1).cast("int"))})
     c.coalesce(1).write.parquet(f"{d}/all")
     next(d.glob("all/*.parquet")).rename(d / "canonical_input.parquet")
+    shutil.copy(f"{sf_dir}/place_ref.parquet", d / "place_ref.parquet")
     return str(d)
 
 
@@ -83,10 +86,26 @@ def test_crossings_over_the_date_line(spark):
                 a, b, c, d = (x1, y1), (x2, y2), (w1 + turn, v1), (w2 + turn, v2)
                 if t < u and side(c, d, a) * side(c, d, b) < 0 and side(a, b, c) * side(a, b, d) < 0:
                     (want if turn else plain).add((t, u))
-    got = [tuple(r) for r in proximity.crossings(segments).collect()]
+    got = [(r["a"], r["b"]) for r in proximity.crossings(segments).collect()]
     assert len(got) == len(set(got)) and set(got) == want | plain and want - plain
 
 
+def test_crossings_keep_off_ends_and_flat_angles(spark):
+    kind = "trace_id string, from_id string, to_id string, from_lat double, from_lon double, to_lat double, to_lon double"
+    lines = [("a", "a1", "a2", 0.0, 170.0, 0.0, 190.0), ("b", "b1", "b2", -1.0, -175.0, 1.0, -175.0), ("c", "c1", "c2", -0.01, 180.0, 5.0, 180.0), ("d", "d1", "d2", -0.5, 171.0, 0.5, 189.0), ("e", "a1", "e2", -1.0, 175.0, 1.0, 175.0)]
+    segments = spark.createDataFrame(lines, kind)
+    pairs = lambda **k: {(r["a"], r["b"]) for r in proximity.crossings(segments, **k).collect()}
+    assert pairs() == {("a", "b"), ("a", "c"), ("a", "d"), ("b", "d"), ("d", "e"), ("c", "d")}
+    assert pairs(buffer_km=2.0) == pairs() - {("a", "c"), ("c", "d")} and pairs(least_angle=15.0) == pairs() - {("a", "d")}
+    at = {(r["a"], r["b"]): r for r in proximity.crossings(segments).collect()}
+    assert at["a", "b"]["lon"] == pytest.approx(-175) and at["a", "b"]["angle"] == pytest.approx(90)
+
+
+def test_opportunities_leave_out_pairs_that_share_an_end(spark):
+    cells = spark.createDataFrame([("x", "1", "p", "q"), ("x", "2", "q", "r"), ("x", "3", "s", "t"), ("y", "1", "p", "q")], "cell string, connector string, from_id string, to_id string")
+    assert {(r["cell"], r["opportunities"]) for r in evidence.cell_opportunities(cells).collect()} == {("x", 2), ("y", 0)}
+
+
 @pytest.mark.parametrize("name", ["segment_crossings", "point_to_segment"])
 def test_segment_queries_have_every_segment(spark, dense, name):
     assert rows_of(queries.QUERIES[name](spark, dense)) == sql_rows(queries.SQL[name], dense)
