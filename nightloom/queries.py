@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from nightloom.operators.instants import normalise_instants
 from nightloom.operators.nearby import within_distance
@@ -23,6 +24,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("canonical_input_id", "utc_seconds")
 
 
+def p6_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By source: records with an instant, those with several readings, and those read alike without the registered orders."""
+    records, registry = table(spark, sf_dir, "canonical_input"), table(spark, sf_dir, "source_registry")
+    known = normalise_instants(records, registry).select("canonical_input_id", F.col("utc_seconds").alias("known"))
+    guess = normalise_instants(records, registry.withColumn("date_order", F.lit(None).cast("string")))
+    of = records.select("canonical_input_id", "source_name").dropDuplicates(["canonical_input_id"])
+    both = known.join(guess, "canonical_input_id").join(of, "canonical_input_id")
+    return both.groupBy("source_name").agg(F.count("*").alias("records"), F.count_if(F.col("readings") > 1).alias("several"), F.count_if(F.col("known") == F.col("utc_seconds")).alias("alike"))
+
+
 P4_SQL = """
 with s as (
   select distinct facility_key, lat, ((lon + 180) - 360 * floor((lon + 180) / 360)) - 180 as lon from facility_point
@@ -36,7 +47,7 @@ where abs(p.lat - s.lat) <= 0.05
   and 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(s.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - p.lon) / 2), 2)))) <= 5
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p6_found": p6_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p6_found": p6_found, "p6_inferred": p6_inferred}
 for part in (catalogue, statistics, spatial, texts, evidence, assessments, review, merging):
     QUERIES |= part.QUERIES
 SQL: dict[str, str] = {"p4_found": P4_SQL}
