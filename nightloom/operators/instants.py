@@ -404,8 +404,9 @@ def normalise_instants(records: DataFrame, sources: DataFrame, block: int = 4000
     registered order is read in both, and its neighbours decide. A record without a
     row number has no neighbours. Empty tables give an empty result.
 
-    A file is cut into blocks of ``block`` row numbers, so that no task holds a
-    whole hot file; ``block_ends`` carries the choice over their borders.
+    A file of more than ``block`` rows is cut into parts of as many row numbers, so
+    that no task holds a whole hot file; ``block_ends`` carries the choice over
+    their borders.
     """
     costs = costs or Costs()
     columns = ("source_name", "source_file", "lone", "part", "id", "date_raw", "time_raw", "zone", "date_order", "two_digit_from")
@@ -453,38 +454,45 @@ def normalise_instants(records: DataFrame, sources: DataFrame, block: int = 4000
         yield out()
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, first, last, matrix = None, [], [], None
+        now, first, last = None, [], []
+        # costs from each state of the first record; all that follows a record of one state is the same for all of them
+        vectors: list[list[float]] = []
+        before: list[float] | None = None
 
         def out() -> pd.DataFrame:
-            return pd.DataFrame({"source_name": [now[0]], "source_file": [now[1]], "part": [now[2]], "first": [_pack(first)], "last": [_pack(last)], "matrix": [matrix.ravel().tolist()]})
+            rows = vectors if before is None else [[b + c for c in vectors[0]] for b in before]
+            return pd.DataFrame({"source_name": [now[0]], "source_file": [now[1]], "part": [now[2]], "first": [_pack(first)], "last": [_pack(last)], "matrix": [[float(c) for row in rows for c in row]]})
 
         for fresh, key, _, options, _, _ in walk(batches):
             if fresh:
                 if now is not None:
                     yield out()
-                now, first, last = key, options, options
-                matrix = np.where(np.eye(len(options), dtype=bool), [s.cost for s in options], np.inf)
+                now, first, before = key, options, None
+                vectors = [[s.cost if j == i else float("inf") for j, s in enumerate(options)] for i in range(len(options))]
             else:
-                matrix = (matrix[:, :, None] + _steps(last, options, costs)[None]).min(axis=1)
-                last = options
+                vectors = [[min(c + _step(a, b, costs) for a, c in zip(last, row, strict=True)) + b.cost for b in options] for row in vectors]
+            last = options
+            if len(options) == 1 and before is None:
+                before, vectors = [row[0] for row in vectors], [[0.0]]
         if now is not None:
             yield out()
 
     registry = small(sources.where(F.col("source_name").isNotNull()).groupBy("source_name").agg(F.min("date_order").alias("date_order"), F.min("two_digit_from").alias("two_digit_from")))
-    number = F.coalesce(F.col("source_row_number"), F.lit(0))
-    lone = F.col("source_row_number").isNull()
-    # records without a row number have no order; they are spread, and each is a chain by itself
-    part = F.when(lone, F.pmod(F.xxhash64("canonical_input_id"), F.lit(1024))).otherwise(F.floor(number / block)).cast("long")
+    number = F.coalesce(F.col("source_row_number"), F.lit(0)).cast("long")
+    keys = ["source_name", "source_file"]
     rows = (
         records.where(F.col("canonical_input_id").isNotNull() & ~F.coalesce(F.lower(F.trim("date_precision")) == "approximate", F.lit(False)) & F.col("date_raw").isNotNull())
         .select(
-            F.coalesce("source_name", F.lit("")).alias("source_name"), F.coalesce("source_file", F.lit("")).alias("source_file"), lone.alias("lone"), part.alias("part"), number.alias("number"),
+            F.coalesce("source_name", F.lit("")).alias("source_name"), F.coalesce("source_file", F.lit("")).alias("source_file"), F.col("source_row_number").isNull().alias("lone"), number.alias("number"),
             F.col("canonical_input_id").alias("id"), "date_raw", "time_raw", F.col("raw_fields")["local_zone"].alias("zone"),
         )
     )
-    keys = ["source_name", "source_file"]
-    long_files = cut(rows.where("not lone").groupBy(*keys).agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high"))
-    named = rows.join(registry, "source_name", "left")
+    size = rows.where("not lone").groupBy(*keys).agg(F.count("*").alias("n"), F.min("number").alias("low"), F.max("number").alias("high")).where(F.col("n") > block)
+    parts = F.least(F.ceil(F.col("n") / block), F.col("high") - F.col("low") + 1)
+    long_files = cut(size.select(*keys, "low", parts.alias("parts"), F.ceil((F.col("high") - F.col("low") + 1) / parts).alias("width")))
+    # records without a row number have no order; they are spread, and each is a chain by itself
+    part = F.when(F.col("lone"), F.pmod(F.xxhash64("id"), F.lit(1024))).otherwise(F.coalesce(F.floor((F.col("number") - F.col("low")) / F.col("width")), F.lit(0))).cast("long")
+    named = rows.join(registry, "source_name", "left").join(small(long_files), keys, "left").withColumn("part", part)
 
     def ordered(df: DataFrame) -> DataFrame:
         return df.repartition(*keys, "lone", "part").sortWithinPartitions(*keys, "lone", "part", "number", "id")
@@ -493,11 +501,8 @@ def normalise_instants(records: DataFrame, sources: DataFrame, block: int = 4000
         nothing = F.lit(None).cast("int")
         ended = named.withColumns({"entry": nothing, "leave": nothing})
     else:
-        highest = long_files.agg(F.max(F.col("high") - F.col("low"))).first()[0]
-        summed = ordered(named.where("not lone").join(small(long_files.select(*keys)), keys, "left_semi")).mapInPandas(summarise, _NODE)
-        low = long_files.select(*keys, "low")
-        ends = block_ends(summed.join(small(low), keys).withColumn("part", F.col("part") - F.col("low")).drop("low"), highest, costs)
-        ends = ends.join(small(low), keys).select(*keys, F.lit(False).alias("lone"), (F.col("part") + F.col("low")).alias("part"), "entry", "leave")
-        ended = named.join(small(ends), [*keys, "lone", "part"], "left")
+        summed = ordered(named.where("not lone and width is not null")).mapInPandas(summarise, _NODE)
+        ends = block_ends(summed, long_files.agg(F.max("parts")).first()[0] - 1, costs)
+        ended = named.join(small(ends.withColumn("lone", F.lit(False))), [*keys, "lone", "part"], "left")
     chosen = ordered(ended).mapInPandas(choose, "canonical_input_id string, utc_seconds long, format string, readings int")
     return chosen.groupBy("canonical_input_id").agg(F.min(F.struct("utc_seconds", "format", "readings")).alias("x")).select("canonical_input_id", "x.*")
