@@ -10,18 +10,18 @@ language on ratings held out.
 
 from __future__ import annotations
 
-import html
 import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nightloom.llm.leaks import _HIDDEN, _INLINE, _TAG
+from nightloom.llm.markup import plain
 
 #: Rated documents the classifier is fitted on, at most; half of them may be rated abusive. The bound of the training sample.
 SAMPLE = 6000
@@ -35,7 +35,7 @@ WORDS, OVERLAP = 48, 8
 LOOKALIKES = str.maketrans("аеорсухіјѕԁһӏьвкмнтαορνικτυεηАВЕКМНОРСТУХІЈЅΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhlbbkmhtaopviktuenABEKMHOPCTYXIJSABEZHIKMNOPTYX")
 LEET = str.maketrans("013457$@!|€8", "oieastsaileb")
 
-_SENTENCE = re.compile(r"(?<=[.!?。！？؟…])[\"'»”’)]*\s+|(?<=[。！？])|[\r\n]+|\s[•|]\s")
+_SENTENCE = re.compile(r"[.!?。！？؟…][\"'»”’)]*\s+|[。！？]|[\r\n]+|\s[•|]\s")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W_])")
 _PIECE = re.compile(r"[^\W_][\w$@!|€*']*[\w$@|€*]|[^\W_]|\$[\w$@]+")
 _REPEAT = re.compile(r"([^\W\d_])\1{2,}")
@@ -44,54 +44,80 @@ _CJK = re.compile("[぀-ヿ㐀-鿿가-힯]")
 
 def sentences(text: str) -> list[str]:
     """Sentences and lines of a text without markup and hidden characters."""
-    text = _TAG.sub("\n", _INLINE.sub("", text))
-    text = html.unescape(text) if "&" in text else text
-    return [s for s in _SENTENCE.split(_HIDDEN.sub("", unicodedata.normalize("NFKC", text))) if s and not s.isspace()]
-
-
-def tokens(sentence: str) -> list[str]:
-    """Words of a sentence with disguises undone."""
+    text = plain(text, "\n")
+    return [s for s in _SENTENCE.split(text if text.isascii() else unicodedata.normalize("NFKC", text)) if s and not s.isspace()]
+
+
+@lru_cache(maxsize=1 << 17)
+def _tokens(w: str) -> tuple[str, ...]:
+    """Tokens of one lower-cased piece of a sentence."""
+    if w.isdigit():
+        return ("0",)
+    if not w.isascii() and _CJK.search(w):
+        return tuple(w[i : i + 2] for i in range(max(1, len(w) - 1)))
+    if "*" in w.strip("*"):
+        w = w.strip("*")
+        return "*masked*", f"{w[0]}*{w[-1]}"
+    if not w.isalpha():
+        letters = sum(c.isalpha() for c in w)
+        if letters * 2 > len(w) and w.strip("'").replace("'", "").isalpha() is False:
+            w = w.translate(LEET)
+        w = "".join(c for c in w if c.isalnum())
+    return (_REPEAT.sub(r"\1", w),) if w else ()
+
+
+@lru_cache(maxsize=1 << 17)
+def _hashes(w: str) -> tuple[int, ...]:
+    return tuple(1 + zlib.crc32(t.encode("utf-8", "replace")) % (BUCKETS - 1) for t in _tokens(w))
+
+
+@lru_cache(maxsize=1 << 17)
+def _chunk(w: str) -> tuple[tuple[int, ...], int]:
+    """Hashed words of a run without white space, and how many letters it has that stand alone or may."""
+    pieces = _PIECE.findall(w)
+    return tuple(h for p in pieces for h in _hashes(p)), sum(len(p) == 1 for p in pieces) if "*" not in w and "_" not in w else 4
+
+
+def _latin(sentence: str) -> str:
+    """A lower-cased sentence without accents, letters that look Latin made so where most are."""
     if not sentence.isascii():
         latin = sum("a" <= c <= "z" or "A" <= c <= "Z" for c in sentence)
         if latin * 2 > sum(c.isalpha() for c in sentence):
             sentence = sentence.translate(LOOKALIKES)
         sentence = "".join(c for c in unicodedata.normalize("NFKD", sentence) if not unicodedata.combining(c))
-    sentence = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), sentence.lower())
-    out = []
-    for w in _PIECE.findall(sentence):
-        if w.isdigit():
-            out.append("0")
-            continue
-        if _CJK.search(w):
-            out += [w[i : i + 2] for i in range(max(1, len(w) - 1))]
-            continue
-        if "*" in w.strip("*"):
-            w = w.strip("*")
-            out += ["*masked*", f"{w[0]}*{w[-1]}"]
-            continue
-        if not w.isalpha():
-            letters = sum(c.isalpha() for c in w)
-            if letters * 2 > len(w) and w.strip("'").replace("'", "").isalpha() is False:
-                w = w.translate(LEET)
-            w = "".join(c for c in w if c.isalnum())
-        if w:
-            out.append(_REPEAT.sub(r"\1", w))
-    return out
+    return sentence.lower()
+
 
+def _closed(sentence: str) -> str:
+    return _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), sentence)
 
-def _hash(word: str) -> int:
-    return 1 + zlib.crc32(word.encode("utf-8", "replace")) % (BUCKETS - 1)
+
+def tokens(sentence: str) -> list[str]:
+    """Words of a sentence with disguises undone."""
+    return [t for w in _PIECE.findall(_closed(_latin(sentence))) for t in _tokens(w)]
+
+
+def parts(sentence: str) -> list[tuple[int, ...]]:
+    """Hashed ``tokens`` of a sentence, overlapping parts of a longer one."""
+    sentence = _latin(sentence)
+    chunks = [_chunk(w) for w in sentence.split()]
+    if sum(n for _, n in chunks) >= 4:  # else no word can be spelled letter by letter
+        chunks = [_chunk(w) for w in _closed(sentence).split()]
+    ids = [h for hashes, _ in chunks for h in hashes]
+    return [tuple(part) for k in range(0, max(1, len(ids) - OVERLAP), WORDS - OVERLAP) if (part := ids[k : k + WORDS])]
 
 
 def instances(text: str) -> list[tuple[int, ...]]:
-    """Hashed words of a text's sentences, overlapping parts of the longer ones."""
-    out = []
-    for s in sentences(text):
-        ids = [_hash(w) for w in tokens(s)]
-        for k in range(0, max(1, len(ids) - OVERLAP), WORDS - OVERLAP):
-            if part := ids[k : k + WORDS]:
-                out.append(tuple(part))
-    return out
+    """Parts of all sentences of a text."""
+    return [part for s in sentences(text) for part in parts(s)]
+
+
+def _row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct row numbers and the sums of their values."""
+    order = np.argsort(rows, kind="stable")
+    ordered = rows[order]
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    return ordered[starts], np.add.reduceat(values[order], starts, axis=0)
 
 
 class TextCNN:
@@ -115,57 +141,63 @@ class TextCNN:
             x[i, : len(ids)] = ids
         return x
 
-    def forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Scores before the logistic, pooled features, and where each maximum lies."""
+    def forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Scores before the logistic, pooled features, where each maximum lies, and what the filters saw."""
         seen = self.e[x]
-        pooled, where = [], []
+        pooled, where, wides = [], [], []
         for k, w, b in zip(FILTERS, self.w, self.b, strict=True):
             steps = x.shape[1] - k + 1
             wide = np.concatenate([seen[:, i : i + steps] for i in range(k)], axis=2)
             act = wide @ w + b
             at = act.argmax(axis=1)
             where.append(at)
+            wides.append(wide)
             pooled.append(np.maximum(np.take_along_axis(act, at[:, None], axis=1)[:, 0], 0))
         features = np.concatenate(pooled, axis=1)
-        return features @ self.out + self.bias, features, where
+        return features @ self.out + self.bias, features, where, wides
 
     def scores(self, batch: list[tuple[int, ...]]) -> np.ndarray:
-        """Probabilities, computed in batches of similar length."""
+        """Probabilities, computed in batches of similar length from the words' projections, so that no product is taken twice for a word."""
         out = np.zeros(len(batch), np.float32)
         order = sorted(range(len(batch)), key=lambda i: len(batch[i]))
         for k in range(0, len(order), 512):
             part = order[k : k + 512]
-            z, _, _ = self.forward(self.pad([batch[i] for i in part]))
+            x = self.pad([batch[i] for i in part])
+            known, x = np.unique(x, return_inverse=True)
+            x = x.reshape(len(part), -1)
+            seen, z = self.e[known], np.full(len(part), self.bias, np.float32)
+            for n, (size, w, b) in enumerate(zip(FILTERS, self.w, self.b, strict=True)):
+                steps = x.shape[1] - size + 1
+                act = (seen @ w[:WIDTH])[x[:, :steps]]
+                for i in range(1, size):
+                    act += (seen @ w[i * WIDTH : (i + 1) * WIDTH])[x[:, i : i + steps]]
+                z += np.maximum(act.max(axis=1) + b, 0) @ self.out[n * COUNT : (n + 1) * COUNT]
             out[part] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         return out
 
     def step(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float) -> None:
         """One Adagrad step on the weighted logistic loss; gradients run through the maxima only."""
-        z, features, where = self.forward(x)
+        z, features, where, wides = self.forward(x)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         d = ((p - y) * weight / weight.sum()).astype(np.float32)
         d_features = d[:, None] * self.out[None] * (features > 0)
         self._apply("out", self.out, features.T @ d + 1e-4 * self.out, rate)
-        grad = np.zeros_like(self.e) if not hasattr(self, "_buffer") else self._buffer
-        self._buffer = grad
-        touched = np.unique(x)
-        grad[touched] = 0
+        d_words = np.zeros((*x.shape, WIDTH), np.float32)
         for n, (k, w) in enumerate(zip(FILTERS, self.w, strict=True)):
+            steps = x.shape[1] - k + 1
             g = d_features[:, n * COUNT : (n + 1) * COUNT]
-            row, col = np.nonzero(g)
-            at = where[n][row, col][:, None] + np.arange(k)
-            ids = x[row[:, None], at]
-            gw = np.zeros_like(w)
-            values = g[row, col][:, None]
-            np.add.at(gw.T, col, values * self.e[ids].reshape(len(row), -1))
-            np.add.at(grad, ids.ravel(), (values * w.T[col]).reshape(-1, WIDTH))
+            d_act = np.zeros((len(x), steps, COUNT), np.float32)
+            np.put_along_axis(d_act, where[n][:, None], g[:, None], axis=1)
+            back = d_act @ w.T
+            for i in range(k):
+                d_words[:, i : i + steps] += back[:, :, i * WIDTH : (i + 1) * WIDTH]
+            gw = wides[n].reshape(-1, k * WIDTH).T @ d_act.reshape(-1, COUNT)
             self._apply(f"w{n}", w, gw + 1e-4 * w, rate)
-            gb = np.zeros(COUNT, np.float32)
-            np.add.at(gb, col, values[:, 0])
-            self._apply(f"b{n}", self.b[n], gb, rate)
+            self._apply(f"b{n}", self.b[n], g.sum(axis=0), rate)
+        rows, grad = _row_sums(x.ravel(), d_words.reshape(-1, WIDTH))
         state = self.__dict__.setdefault("_e2", np.full((BUCKETS, 1), 1e-8, np.float32))
-        state[touched] += (grad[touched] ** 2).mean(axis=1, keepdims=True)
-        self.e[touched] -= rate * grad[touched] / np.sqrt(state[touched])
+        state[rows] += (grad**2).mean(axis=1, keepdims=True)
+        self.e[rows] -= rate * grad / np.sqrt(state[rows])
         self.e[0] = 0
 
     def _apply(self, name: str, value: np.ndarray, grad: np.ndarray, rate: float) -> None:
@@ -218,15 +250,16 @@ def fit(bags: list[list[tuple[int, ...]]], rated: np.ndarray, rounds: int = 14,
 
 
 def language(lang: str | None) -> str:
-    """Language a threshold is kept for; '' for missing and rare ones."""
-    code = (lang or "").strip().lower()[:2]
-    return code if code in ("en", "es", "fr", "de") else ""
+    """Two-letter code of a language label; '' for anything else."""
+    code = re.split(r"[-_]", (lang or "").strip().lower())[0]
+    return code if len(code) == 2 and code.isalpha() else ""
 
 
-def calibrate(scores: np.ndarray, rated: np.ndarray, langs: list[str]) -> dict[str, float]:
-    """The threshold of best F1 overall ('all') and, where a language has ten cases or more, for it.
+def calibrate(scores: np.ndarray, rated: np.ndarray, langs: list[str], cases: int = 10, within: tuple[float, float] = (0.2, 0.65)) -> dict[str, float]:
+    """The threshold of best F1 overall ('all') and, where a language has ``cases`` cases or more, for it.
 
-    Between the scores next to the best cut the middle is taken, kept within 0.2 and 0.65.
+    Between the scores next to the best cut the middle is taken, kept ``within`` bounds,
+    since few cases leave it open.
     """
 
     def best(s: np.ndarray, y: np.ndarray) -> float:
@@ -235,13 +268,13 @@ def calibrate(scores: np.ndarray, rated: np.ndarray, langs: list[str]) -> dict[s
         f1 = 2 * hits / (np.arange(1, len(s) + 1) + y.sum())
         k = int(np.argmax(f1))
         after = s[order[k + 1]] if k + 1 < len(s) else 0.0
-        return float(np.clip((s[order[k]] + after) / 2, 0.2, 0.65))
+        return float(np.clip((s[order[k]] + after) / 2, *within))
 
     whole = best(scores, rated) if rated.any() else 0.5
     out = {"all": whole}
     for code in sorted(set(langs)):
         own = np.array([x == code for x in langs])
-        if code and rated[own].sum() >= 10:
+        if code and rated[own].sum() >= cases:
             out[code] = best(scores[own], rated[own])
     return out
 
@@ -299,17 +332,18 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, cuts = shared.value
-        memo: dict[tuple[int, ...], float] = {}
+        memo: dict[str, float] = {}
         for b in batches:
             for start in range(0, len(b), 500):
                 part = b.iloc[start : start + 500]
-                bags = [instances(t) if t else [] for t in part["text"]]
-                fresh = list({i for bag in bags for i in bag if i not in memo})
+                bags = [sentences(t) if t else [] for t in part["text"]]
                 if len(memo) > 200_000:
                     memo.clear()
-                    fresh = list({i for bag in bags for i in bag})
-                memo.update(zip(fresh, model.scores(fresh).tolist(), strict=True))
-                score = np.array([max((memo[i] for i in bag), default=0.0) for bag in bags])
+                fresh = {s: parts(s) for bag in bags for s in bag if s not in memo}
+                pieces = list({p for ps in fresh.values() for p in ps})
+                known = dict(zip(pieces, model.scores(pieces).tolist(), strict=True))
+                memo.update((s, max((known[p] for p in ps), default=0.0)) for s, ps in fresh.items())
+                score = np.array([max((memo[s] for s in bag), default=0.0) for bag in bags])
                 limit = np.array([cuts.get(language(x), cuts["all"]) for x in part["lang"]])
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "source": part["source"].to_numpy(), "score": score, "flagged": score >= limit})
 

@@ -13,7 +13,7 @@ from nightloom.llm.leaks import find_leaks
 from nightloom.llm.linkage import link
 from nightloom.llm.near_duplicates import near_duplicates
 from nightloom.llm.places import map_places
-from nightloom.llm.survivors import survivors
+from nightloom.llm.survivors import consensus_survivors, survivors
 from nightloom.session import table
 
 TRUST = {"time_raw": "time_trust", "coordinate_source": "coord_trust", "shape_normalized": "shape_trust"}
@@ -49,6 +49,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors(table(spark, sf_dir, "event_provenance"), table(spark, sf_dir, "canonical_input"), table(spark, sf_dir, "source_registry"), TRUST)
 
 
+def p7_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the records of each event agree on, token by token, whether or not the best-ranked one says so."""
+    tables = [table(spark, sf_dir, n) for n in ("event_provenance", "canonical_input", "source_registry")]
+    ranked = survivors(*tables, TRUST).withColumnRenamed("canonical_input_id", "ranked_id")
+    return consensus_survivors(*tables, TRUST).join(ranked, ["event_id", "field_name"])
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -140,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p7_found": p7_found,
+    "p7_consensus": p7_consensus,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p10_found": p10_found,
