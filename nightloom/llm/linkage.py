@@ -67,7 +67,7 @@ RULES = (
     Rule("date place street", ("date", "place", "street"), ("date", "place", "street"), f"(l_minute is null or r_minute is null) and {_SHAPES} and (l_facts is null or r_facts is null)", 0.8),
     Rule("place facts time", ("undated", "place", "facts", "time"), ("undated", "place", "facts", "time"), f"{_ANY_STREET} and {_SHAPES}", 0.9),
     Rule("place facts street", ("undated", "place", "facts"), ("undated", "place", "facts"), f"{_SAME_STREET} and {_NEAR_TIME} and {_SHAPES}", 0.9),
-    Rule("place time street", ("undated", "place", "time"), ("undated", "place", "time"), f"{_SAME_STREET} and l_shape = r_shape and (l_facts is null or r_facts is null)", 0.6),
+    Rule("place time street", ("undated", "place", "time", "shape"), ("undated", "place", "time", "shape"), f"{_SAME_STREET} and (l_facts is null or r_facts is null)", 0.6),
 )
 
 
@@ -172,14 +172,14 @@ def labelled_precision(pairs: DataFrame, feats: DataFrame, rules: tuple[Rule, ..
 
 
 def link(records: DataFrame, partners: DataFrame, places: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """record_id, partner_id, rule, confidence: pairs that describe the same sighting.
+    """record_id, partner_id, rule, confidence, same, different: pairs that describe the same sighting.
 
     ``records`` and ``partners`` are compact records, ``places`` the reference
     places that spell their location texts alike, ``labels`` verdicts on pairs of
     records. A partner leaves the cascade with the first rule that pairs it; a
     record can have several partners. Missing attributes agree with nothing unless
     a rule says so, repeated ids count once, empty tables give an empty result.
-    confidence = (same + w p) / (labelled + w), with the rule's prior p and
+    confidence = (same + w p) / (same + different + w), with the rule's prior p and
     w = PRIOR_WEIGHT, over the labelled pairs that the rule would join.
     """
     names = ["input_id", "date_iso", "date_precision", "time_key", "location_text", "location_country_key", "location_region_key", "shape_key", "text_normalized", "summary"]
@@ -196,4 +196,5 @@ def link(records: DataFrame, partners: DataFrame, places: DataFrame, labels: Dat
     seen = labelled_precision(labels, left, rules)
     prior = F.create_map(*[F.lit(x) for r in rules for x in (r.name, r.prior)])[F.col("rule")]
     count = F.coalesce(F.col("same") + F.col("different"), F.lit(0))
-    return found.join(seen, "rule", "left").select("record_id", "partner_id", "rule", ((F.coalesce(F.col("same"), F.lit(0)) + prior * PRIOR_WEIGHT) / (count + PRIOR_WEIGHT)).alias("confidence"))
+    confidence = (F.coalesce(F.col("same"), F.lit(0)) + prior * PRIOR_WEIGHT) / (count + PRIOR_WEIGHT)
+    return found.join(seen, "rule", "left").select("record_id", "partner_id", "rule", confidence.alias("confidence"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("same", "different")])

@@ -1,11 +1,13 @@
 """Near-duplicate texts by tiled exact comparison of bit sketches.
 
-Every distinct bag of words becomes a 256-bit parity sketch: the exclusive-or of
-two sketches never has more bits than the two bags have unlike words, so a pair
-beyond the radius of its lengths is ruled out for certain, and so is a whole
-tile pair whose population counts differ beyond it. Tiles are formed within
-buckets of equal min-hash bands, so that only texts that may be alike meet; the
-words themselves decide in the end.
+Every distinct bag of words becomes a parity sketch, the wider the longer the
+text: the exclusive-or of two sketches never has more bits than the two bags have
+unlike words, so a pair beyond the radius of its lengths is ruled out for certain,
+and so is a whole tile pair whose population counts differ beyond it. Tiles are
+formed within buckets of equal min-hash bands, so that only texts that may be
+alike meet, or, where no chance of a miss is wanted, within buckets of like
+lengths, which all pairs that can reach the threshold share. The words themselves
+decide in the end.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby, pairwise
 
 import numpy as np
 import pandas as pd
@@ -26,24 +29,34 @@ from nightloom.session import cut, small
 
 _WORD = re.compile("[a-z0-9]+")
 
-#: Bits of a sketch, in 64-bit words.
-SKETCH_WORDS = 4
+#: Words of a text up to which its sketch has 256 bits; twice the words have twice the bits, up to WIDEST times.
+PLAIN_WORDS, WIDEST = 300, 64
 #: Rows of a tile.
 TILE = 512
 #: Rows from which a bucket is split: its tiles of so many rows are compared pair by pair in tasks of their own.
 HOT = 8192
 #: Chance that a pair exactly at the threshold shares no band.
 MISS = 1e-3
-#: Likeness of unrelated texts and rows an average bucket may have; with them the rows of a band grow with the logarithm of the corpus.
-BACKGROUND, BUCKET = 0.2, 600
+#: Rows of a band that are tried for one whose buckets hold no more than BUCKET rows for the SMALL share of all texts; where no one does, BACKGROUND, the likeness of unrelated texts, tells how many rows to take.
+TRIED, BUCKET, SMALL, BACKGROUND = (3, 4, 5, 6), 600, 0.6, 0.2
 #: Word numbers a worker keeps hashes of.
 VOCABULARY = 40_000
 
 
-def band_shape(texts: int, threshold: float) -> tuple[int, int]:
-    """(rows of a band, bands) for a corpus size: buckets stay of one size, the chance of a miss too."""
-    rows = max(3, math.ceil(math.log(max(texts, 2) / BUCKET) / math.log(1 / BACKGROUND)))
-    return rows, math.ceil(math.log(1 / MISS) / -math.log1p(-(threshold**rows)))
+def bands_for(rows: int, threshold: float, miss: float) -> int:
+    """Bands of so many rows that leave a pair at the threshold a chance of at most ``miss`` to share none."""
+    return math.ceil(math.log(miss) / math.log1p(-(threshold**rows)))
+
+
+def rows_for(texts: int) -> int:
+    """Rows of a band for which unrelated texts fall into buckets of BUCKET rows, but more than were tried."""
+    return max(TRIED[-1] + 1, math.ceil(math.log(max(texts, 2) / BUCKET) / math.log(1 / BACKGROUND)))
+
+
+def width_of(words: np.ndarray) -> np.ndarray:
+    """64-bit words of the sketch of a text of so many words."""
+    steps = np.ceil(np.log2(np.maximum(words, 1) / PLAIN_WORDS) - 1e-12)
+    return 4 << np.clip(steps, 0, WIDEST.bit_length() - 1).astype(np.int64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -86,12 +99,12 @@ class Signer:
                     self.bit = np.concatenate([self.bit, np.empty_like(self.bit)])
                 h = np.uint64(xxhash.xxh64_intdigest(w, k))
                 self.table[i] = (_mix(self.seeds ^ h) >> np.uint64(32)).astype(np.uint32)
-                self.bit[i] = int(h) % (64 * SKETCH_WORDS)
+                self.bit[i] = int(h) % (256 * WIDEST)
             out.append(i)
         return out
 
     def sign(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """keys (n, bands) int64, sketches (n, words) uint64, word counts (n)."""
+        """keys (n, bands) int64, word counts (n) and the words' bits of all texts one after the other."""
         if len(self.ids) > VOCABULARY:
             self.clear()
         numbers = [self._numbers(t) for t in texts]
@@ -109,32 +122,61 @@ class Signer:
             else:
                 least[a:b] = np.minimum.reduceat(self.table[flat[first[a] : end]], first[a:b] - first[a], axis=0)
             a = b
-        key = np.broadcast_to(np.arange(self.bands, dtype=np.uint64) + np.uint64(1), (len(texts), self.bands)).copy()
+        return self.keys(least), count, self.bit[flat]
+
+    def tries(self, texts: list[list[str]]) -> np.ndarray:
+        """Keys (n, len(TRIED)) of one band by the first few of its rows, as many as are tried."""
+        rows, self.rows = self.rows, 1
+        bands, self.bands = self.bands, rows * self.bands
+        try:
+            single, _, _ = self.sign(texts)
+        finally:
+            self.rows, self.bands = rows, bands
+        key = np.zeros(len(texts), np.uint64)
+        out = []
+        for r in range(rows):
+            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + single[:, r].view(np.uint64))
+            out.append(key.view(np.int64))
+        return np.stack([out[r - 1] for r in TRIED], axis=1)
+
+    def keys(self, least: np.ndarray) -> np.ndarray:
+        """Band keys of the least hashes."""
+        key = np.broadcast_to(np.arange(self.bands, dtype=np.uint64) + np.uint64(1), (len(least), self.bands)).copy()
         for r in range(self.rows):
             key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + least[:, r :: self.rows])
-        width = 64 * SKETCH_WORDS
-        of = np.repeat(np.arange(len(texts)), count)
-        odd = np.bincount(of * width + self.bit[flat], minlength=len(texts) * width).reshape(-1, width) & 1
-        sketch = np.packbits(odd.astype(np.uint8), axis=1).view(np.uint64)
-        return key.view(np.int64), sketch, count
+        return key.view(np.int64)
+
 
+def sketches(count: np.ndarray, bits: np.ndarray, width: int) -> np.ndarray:
+    """Parity sketches (n, width) of texts of ``count`` words, whose bits come one after the other."""
+    out = np.empty((len(count), width), np.uint64)
+    first, wide = np.r_[0, np.cumsum(count)], 64 * width
+    for a in range(0, len(count), step := max(1, 2_000_000 // wide)):
+        n = count[a : a + step]
+        at = bits[first[a] : first[a] + n.sum()] % wide
+        odd = np.bincount(np.repeat(np.arange(len(n)), n) * wide + at, minlength=len(n) * wide).reshape(-1, wide) & 1
+        out[a : a + step] = np.packbits(odd.astype(np.uint8), axis=1).view(np.uint64)
+    return out
 
-#: A record of the shuffle: population count (first, so that rows sort by it), word count, text number, sketch.
-_PACKED = np.dtype([("count", ">u2"), ("words", "<i4"), ("id", "<i8"), ("sketch", "<u8", SKETCH_WORDS)])
+
+def packed_type(width: int) -> np.dtype:
+    """A record of the shuffle: population count (first, so that rows sort by it), word count, text number, sketch."""
+    return np.dtype([("count", ">u2"), ("words", "<i4"), ("id", "<i8"), ("sketch", "<u8", width)])
 
 
 def _binary(packed: np.ndarray) -> pa.Array:
-    size = _PACKED.itemsize
+    size = packed.dtype.itemsize
     offsets = np.arange(len(packed) + 1, dtype=np.int32) * size
     return pa.Array.from_buffers(pa.binary(), len(packed), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(packed.tobytes())])
 
 
 def _unpacked(column: pa.Array) -> np.ndarray:
-    """The rows of a binary column."""
+    """The rows of a binary column, all of one width."""
     if not len(column):
-        return np.empty(0, _PACKED)
-    start = np.frombuffer(column.buffers()[1], np.int32, 1, offset=4 * column.offset)[0]
-    return np.frombuffer(column.buffers()[2], _PACKED, len(column), offset=start).copy()
+        return np.empty(0, packed_type(4))
+    start, end = np.frombuffer(column.buffers()[1], np.int32, 2, offset=4 * column.offset)
+    kind = packed_type((end - start - packed_type(0).itemsize) // 8)
+    return np.frombuffer(column.buffers()[2], kind, len(column), offset=start).copy()
 
 
 class Comparer:
@@ -150,7 +192,7 @@ class Comparer:
         """Whether rows, broadcast against each other, may be alike; b is a field-wise view."""
         la, lb = a["words"].astype(np.int64), b["words"].astype(np.int64)
         far = np.zeros(np.broadcast_shapes(la.shape, lb.shape), np.int16)
-        for w in range(SKETCH_WORDS):
+        for w in range(a["sketch"].shape[-1]):
             far += np.bitwise_count(a["sketch"][..., w] ^ b["sketch"][..., w])
         return far <= self.share * (la + lb) + 1e-9
 
@@ -229,9 +271,23 @@ def shared_words(a: str, b: str) -> float:
     return common / (sum(x.values()) + sum(y.values()) - common)
 
 
-def candidate_pairs(reps: DataFrame, threshold: float, least_words: int, texts: int, hot_rows: int = HOT) -> DataFrame:
-    """a, b: numbers of texts (``reps``: number, text) whose sketches allow the threshold."""
-    rows, bands = band_shape(texts, threshold)
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(width, keys, rows) of the parts of batches, which come in order of width."""
+    for b in batches:
+        width = b.column("width").to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero(np.r_[True, width[1:] != width[:-1], True]) if len(width) else []
+        for start, end in pairwise(edges):
+            part = b.slice(start, end - start)
+            yield int(width[start]), part.column("key").to_numpy(zero_copy_only=False), _unpacked(part.column("row"))
+
+
+def candidate_pairs(reps: DataFrame, threshold: float, least_words: int, shape: tuple[int, int] | None, hot_rows: int = HOT) -> DataFrame:
+    """a, b: numbers of texts (``reps``: number, text) whose sketches allow the threshold.
+
+    ``shape``: rows of a band and bands; None takes buckets of like lengths instead,
+    which lose nothing and grow with the square of the texts.
+    """
+    rows, bands = shape or (1, 1)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(rows, bands)
@@ -242,15 +298,31 @@ def candidate_pairs(reps: DataFrame, threshold: float, least_words: int, texts:
                 fit = np.array([len(x) >= least_words for x in lists], bool)
                 if not fit.any():
                     continue
-                keys, sketch, count = signer.sign([x for x, y in zip(lists, fit, strict=True) if y])
-                packed = np.empty(len(count), _PACKED)
-                packed["id"], packed["words"], packed["sketch"] = b.column("number").to_numpy(zero_copy_only=False)[fit], count, sketch
-                packed["count"] = np.bitwise_count(sketch).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), _binary(np.repeat(packed, bands))], names=["key", "row"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                keys, count, bits = signer.sign([x for x, y in zip(lists, fit, strict=True) if y])
+                number = b.column("number").to_numpy(zero_copy_only=False)[fit]
+                if shape is None:
+                    # a text meets those down to its own part of the scale, and those up to the next
+                    scale = np.floor(np.log(count) / -math.log(threshold)).astype(np.int64)
+                    keys = np.stack([scale, scale + 1], axis=1)
+                own, most = width_of(count), width_of(np.floor(count / threshold))
+                text_of = np.repeat(np.arange(len(count)), count)
+                for width in np.unique(np.concatenate([own, most])):
+                    # texts that may have a partner of this width, their own or a wider one
+                    at = np.flatnonzero((own <= width) & (width <= most))
+                    packed = np.empty(len(at), packed_type(width))
+                    packed["id"], packed["words"] = number[at], count[at]
+                    packed["sketch"] = sketches(count[at], bits[np.isin(text_of, at)] if len(at) < len(count) else bits, width)
+                    packed["count"] = np.bitwise_count(packed["sketch"]).sum(axis=1)
+                    own_keys = _mix(keys[at].view(np.uint64) + np.uint64(width)).view(np.int64).ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own_keys), width, np.int16)), pa.array(own_keys), _binary(np.repeat(packed, keys.shape[1]))], names=["width", "key", "row"])
+
+    def compare_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for width, parts in groupby(_segments(batches), key=lambda x: x[0]):
+            yield from compare(packed_type(width), parts)
+
+    def compare(kind: np.dtype, parts: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         comparer = Comparer(threshold)
-        held_keys, held_rows, size = [np.empty(0, np.int64)], [np.empty(0, _PACKED)], 0
+        held_keys, held_rows, size = [np.empty(0, np.int64)], [np.empty(0, kind)], 0
         hot: tuple[int, int] | None = None  # the open bucket's key and rows so far, once it is a hot one
 
         def out(pairs: np.ndarray, keys: np.ndarray, rows: np.ndarray, first: int = 0) -> pa.RecordBatch:
@@ -275,8 +347,7 @@ def candidate_pairs(reps: DataFrame, threshold: float, least_words: int, texts:
             rest = np.repeat(sizes < hot_rows, sizes)
             yield out(comparer.pairs(key[rest], row[rest]), key[:0], row[:0])
 
-        for batch in batches:
-            keys, rows = batch.column("key").to_numpy(zero_copy_only=False), _unpacked(batch.column("row"))
+        for _, keys, rows in parts:
             if hot is not None:
                 end = int(np.searchsorted(keys, hot[0], side="right"))
                 yield out(nothing, keys[:end], rows[:end], hot[1])
@@ -299,13 +370,13 @@ def candidate_pairs(reps: DataFrame, threshold: float, least_words: int, texts:
         yield from settle(np.concatenate(held_keys), np.concatenate(held_rows))
 
     def tiles(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = (np.concatenate([_unpacked(c) for c in t.column("row").chunks]) if t.num_rows else np.empty(0, _PACKED) for t in (left, right))
+        a, b = (np.concatenate([_unpacked(c) for c in t.column("row").chunks if len(c)]) if t.num_rows else np.empty(0, packed_type(4)) for t in (left, right))
         got = Comparer(threshold).between(a, b, same=key[1].as_py() == key[2].as_py())
         return pa.table({"a": got[:, 0], "b": got[:, 1]})
 
-    banded = reps.select("number", "text").mapInArrow(sign, "key long, row binary")
+    banded = reps.select("number", "text").mapInArrow(sign, "width short, key long, row binary")
     kind = "a long, b long, key long, tile long, count int, words int, row binary"
-    compared = cut(banded.repartition("key").sortWithinPartitions("key", "row").mapInArrow(compare, kind))
+    compared = cut(banded.repartition("key").sortWithinPartitions("width", "key", "row").mapInArrow(compare_all, kind))
     pairs = compared.where("a is not null").select("a", "b")
     large = compared.where("key is not null").select("key", "tile", "count", "words", "row")
     if not large.isEmpty():
@@ -322,36 +393,57 @@ def candidate_pairs(reps: DataFrame, threshold: float, least_words: int, texts:
     return pairs.distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.7, least_words: int = 20, hot_rows: int = HOT) -> DataFrame:
-    """left_id, right_id: pairs of ids, lesser first, whose texts share at least ``threshold`` of their words.
+def band_rows(members: DataFrame, texts: int) -> int:
+    """The fewest rows of a band whose buckets are small for most of all texts (``members``: copy, tries: a key for each of TRIED).
 
-    ``docs``: id, text; words are runs of a-z and 0-9 after lower-casing, counted
-    with repetition. Texts of fewer than ``least_words`` words, null ids and null
-    texts pair with nothing; repeated rows count once; an id is not paired with
-    itself; empty tables give an empty result. Exact copies are reduced to one
-    text before any comparison and expanded at the very end. A pair exactly at the
-    threshold is missed with a chance of MISS (fewer the more alike it is).
+    Counted over every distinct text. Texts of a crowd of near-duplicates stay in
+    large buckets however many rows there are, so not all are asked for.
     """
-    docs = docs.where("id is not null and text is not null").select("id", "text")
+    for i, rows in enumerate(TRIED):
+        sizes = members.groupBy(F.col("tries")[i].alias("key")).agg(F.count_distinct("copy").alias("c"))
+        small_ones = sizes.agg(F.sum(F.when(F.col("c") <= BUCKET, F.col("c")))).first()[0] or 0
+        if small_ones >= SMALL * texts:
+            return rows
+    return rows_for(texts)
+
+
+def near_duplicate_classes(docs: DataFrame, threshold: float = 0.7, least_words: int = 20, hot_rows: int = HOT, miss: float | None = MISS) -> tuple[DataFrame, DataFrame]:
+    """(links, members) of texts that share at least ``threshold`` of their words.
+
+    links: a, b, id_a, id_b, pairs of classes of exact copies by their
+    representatives; members: head, id, the records of every class of more than one.
+    What counts is said at ``near_duplicates``; with ``miss`` None no pair is missed.
+    """
+    docs = docs.where("id is not null and text is not null").select(F.xxhash64("id", "text").alias("number"), "id", "text")
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, copies = [], []
-            for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                words = _WORD.findall(t.lower())
-                if len(words) >= least_words:
-                    words.sort()
-                    ids.append(i)
-                    copies.append(hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(copies, pa.binary())], names=["id", "copy"])
-
-    members = cut(docs.mapInArrow(bag, "id string, copy binary").distinct())
-    heads = members.groupBy("copy").agg(F.min("id").alias("head"), F.count("*").alias("copies"))
+        probe = Signer(TRIED[-1], 1)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                b = whole.slice(start, 2000)
+                lists = [_WORD.findall(t.lower()) for t in b.column("text").to_pylist()]
+                fit = [k for k, x in enumerate(lists) if len(x) >= least_words]
+                if not fit:
+                    continue
+                copies = [hashlib.blake2b(" ".join(sorted(lists[k])).encode(), digest_size=16).digest() for k in fit]
+                tries = np.zeros((len(fit), len(TRIED)), np.int64) if miss is None else probe.tries([lists[k] for k in fit])
+                own = b.take(pa.array(fit, pa.int64()))
+                offsets = pa.array(np.arange(len(fit) + 1, dtype=np.int32) * len(TRIED))
+                yield pa.RecordBatch.from_arrays([own.column("number"), own.column("id"), pa.array(copies, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(tries.ravel()))], names=["number", "id", "copy", "tries"])
+
+    told = docs.mapInArrow(bag, "number long, id string, copy binary, tries array<long>")
+    members = cut(told.groupBy("number").agg(F.min("id").alias("id"), F.min("copy").alias("copy"), F.min("tries").alias("tries"), F.count("*").alias("times")))
+    heads = members.groupBy("copy").agg(F.min(F.struct("id", "number")).alias("head"), F.count("*").alias("copies"))
     texts = heads.count()
-    copied = cut(members.join(heads.where("copies > 1"), "copy").select("id", "head").distinct())
-    spare = copied.where("id <> head").select("id").distinct()
-    reps = docs.join(small(spare), "id", "left_anti").select(F.xxhash64("id").alias("number"), "id", "text")
-    pairs = cut(candidate_pairs(reps, threshold, least_words, texts, hot_rows))
+    copied = cut(members.join(heads.where("copies > 1"), "copy").select("number", "id", F.col("head.number").alias("head")))
+    rows = None if miss is None else band_rows(members.select("copy", "tries"), texts)
+    reps = docs.join(small(copied.where("number <> head").select("number")), "number", "left_anti")
+    again = cut(members.where("times > 1").select("number"))
+    if not again.isEmpty():
+        # rows told more than once, brought down to one where they are
+        often = small(again)
+        reps = reps.join(often, "number", "left_anti").union(reps.join(often, "number", "left_semi").dropDuplicates(["number", "id", "text"]))
+    pairs = cut(candidate_pairs(reps, threshold, least_words, None if rows is None else (rows, bands_for(rows, threshold, miss)), hot_rows))
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -359,11 +451,25 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.7, least_words: int =
 
     # only the texts that occur in a pair are moved
     needed = reps.join(small(pairs.selectExpr("explode(array(a, b)) as number").distinct()), "number", "left_semi")
-    one = needed.select(F.col("number").alias("a"), F.col("id").alias("id_a"), F.col("text").alias("text_a"))
-    two = needed.select(F.col("number").alias("b"), F.col("id").alias("id_b"), F.col("text").alias("text_b"))
-    sure = pairs.join(one, "a").join(two, "b").where(alike("text_a", "text_b")).select("id_a", "id_b")
-    group = small(copied)
-    left = sure.join(group.select(F.col("head").alias("id_a"), F.col("id").alias("x")), "id_a", "left").select(F.coalesce("x", "id_a").alias("x"), "id_b")
-    both = left.join(group.select(F.col("head").alias("id_b"), F.col("id").alias("y")), "id_b", "left").select("x", F.coalesce("y", "id_b").alias("y"))
-    equal = copied.select("head", F.col("id").alias("x")).join(copied.select("head", F.col("id").alias("y")), "head").where("x < y").select("x", "y")
+    one, two = (needed.select(F.col("number").alias(p), F.col("id").alias(f"id_{p}"), F.col("text").alias(f"text_{p}")) for p in "ab")
+    links = pairs.join(one, "a").join(two, "b").where(alike("text_a", "text_b")).select("a", "b", "id_a", "id_b")
+    return links, copied.select("head", "id")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.7, least_words: int = 20, hot_rows: int = HOT, miss: float | None = MISS) -> DataFrame:
+    """left_id, right_id: pairs of ids, lesser first, whose texts share at least ``threshold`` of their words.
+
+    ``docs``: id, text; words are runs of a-z and 0-9 after lower-casing, counted
+    with repetition. Texts of fewer than ``least_words`` words, null ids and null
+    texts pair with nothing; repeated rows count once; an id with several texts
+    pairs by each of them, but not with itself; empty tables give an empty result.
+    Exact copies are reduced to one text before any comparison and expanded at the
+    very end. A pair exactly at the threshold is missed with a chance of ``miss``
+    (fewer the more alike it is), none with ``miss`` None.
+    """
+    links, members = near_duplicate_classes(docs, threshold, least_words, hot_rows, miss)
+    group = small(members)
+    left = links.join(group.select(F.col("head").alias("a"), F.col("id").alias("x")), "a", "left").select(F.coalesce("x", "id_a").alias("x"), "b", "id_b")
+    both = left.join(group.select(F.col("head").alias("b"), F.col("id").alias("y")), "b", "left").select("x", F.coalesce("y", "id_b").alias("y"))
+    equal = members.select("head", F.col("id").alias("x")).join(members.select("head", F.col("id").alias("y")), "head").where("x < y").select("x", "y")
     return both.union(equal).where("x <> y").select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id")).distinct()

@@ -39,7 +39,7 @@ ALIASES = {
     "usa": "us usa america unitedstates unitedstatesofamerica estadosunidos etatsunis",
     "canada": "ca can",
     "united kingdom": "uk gb gbr greatbritain britain unitedkingdom",
-    "australia": "au aus austrailia",
+    "australia": "au aus",
     "new zealand": "nz nzl aotearoa",
     "norway": "no nor norge",
     "germany": "de deu ger deutschland brd",
@@ -155,6 +155,8 @@ class Reference:
             known = self.spelled.setdefault(state[0], [])
             if (state.split(), label) not in known:
                 known.append((state.split(), label))
+        #: words of region names, to which typed ones are repaired
+        self.region_words = {w for e in self.entries for w in (*e[2].split("|")[0].split(), *e[3].split())}
         self._seen: dict[str, frozenset[str]] = {}
 
     def region(self, text: str) -> frozenset[str]:
@@ -171,11 +173,12 @@ class Reference:
             got = self._seen[text] = frozenset(found)
         return got
 
-    def regions_in(self, texts: list[str]) -> set[str]:
-        """Regions named in folded texts, longest runs of tokens first."""
+    def regions_in(self, texts: list[str], repaired: dict[str, str]) -> set[str]:
+        """Regions named in folded texts, longest runs of tokens first; a token that stands for none is read as its repaired word."""
         out: set[str] = set()
         for text in texts:
             tokens = _TOKEN.findall(_DOTTED.sub(lambda m: m[0].replace(".", "") + " ", text))
+            tokens = [t if t not in repaired or self.region(t) else repaired[t] for t in tokens]
             i = 0
             while i < len(tokens):
                 for k in range(min(4, len(tokens) - i), 0, -1):
@@ -188,11 +191,11 @@ class Reference:
                 i += 1
         return out
 
-    def hints(self, location: str, state: str, country: str) -> Counter:
+    def hints(self, location: str, state: str, country: str, repaired: dict[str, str]) -> Counter:
         """How many of the three folded texts name each region; a column's own kind of region goes before the other."""
-        out = Counter(self.regions_in([_BESIDE.sub(" ", location)]))
+        out = Counter(self.regions_in([_BESIDE.sub(" ", location)], repaired))
         for text, kind in ((state, "s:"), (country, "c:")):
-            found = self.regions_in([text])
+            found = self.regions_in([text], repaired)
             out.update([x for x in found if x.startswith(kind)] or found)
         return out
 
@@ -229,11 +232,12 @@ def _abbreviates(text: str, words: list[str]) -> bool:
 
 
 def repair_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """token, word, likeness: the nearest vocabulary word of each token that is none itself.
+    """token, kind, word, likeness: the nearest vocabulary word (``vocabulary``: word, kind) of each token, of every kind.
 
     An equi-join on deletion neighbourhoods proposes the pairs, the exact edit
-    distance decides; ties go to the alphabetically first. Tokens beyond 40
-    letters are no typed names and stay as they are.
+    distance decides; ties go to the alphabetically first. Tokens under four letters
+    have no edits to give, and tokens beyond 40 are no typed names; both stay as
+    they are. Tokens are dealt to all tasks before their neighbourhoods are made.
     """
 
     @F.pandas_udf("array<string>")
@@ -245,11 +249,12 @@ def repair_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
         return pd.Series([edits(x, y, 2) for x, y in zip(a, b, strict=True)], dtype="int32")
 
     fit = "length(token) between 4 and 40"
-    left = tokens.where(fit).join(vocabulary.select(F.col("word").alias("token")), "token", "left_anti").select("token", F.explode(gone("token")).alias("gap"))
-    right = vocabulary.where("length(word) between 4 and 40").select("word", F.explode(gone("word")).alias("gap"))
-    pairs = left.join(small(right, 10 * BROADCAST_ROWS), "gap").select("token", "word").distinct()
-    near = pairs.withColumn("far", apart("token", "word")).where(F.col("far") <= F.when(F.least(F.length("token"), F.length("word")) < 6, 1).otherwise(2))
-    return near.groupBy("token").agg(F.min(F.struct("far", "word")).alias("best")).select("token", "best.word", (1.0 - F.col("best.far") / F.length("token")).alias("likeness"))
+    tasks = max(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), tokens.sparkSession.sparkContext.defaultParallelism)
+    left = tokens.where(fit).repartition(tasks, "token").select("token", F.explode(gone("token")).alias("gap"))
+    right = vocabulary.where("length(word) between 4 and 40").select("word", "kind", F.explode(gone("word")).alias("gap"))
+    pairs = left.join(small(right, 10 * BROADCAST_ROWS), "gap").select("token", "word", "kind").distinct()
+    near = pairs.repartition(tasks, "token").withColumn("far", apart("token", "word")).where(F.col("far") <= F.when(F.least(F.length("token"), F.length("word")) < 6, 1).otherwise(2))
+    return near.groupBy("token", "kind").agg(F.min(F.struct("far", "word")).alias("best")).select("token", "kind", "best.word", (1.0 - F.col("best.far") / F.length("token")).alias("likeness"))
 
 
 def map_places(records: DataFrame, places: DataFrame) -> DataFrame:
@@ -279,17 +284,17 @@ def map_places(records: DataFrame, places: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<string>")
     def tokenise(col: pd.Series) -> pd.Series:
-        return col.map(lambda t: sorted(set(name_tokens(fold(t.split(sep)[0])))))
+        return col.map(lambda t: sorted({x for k, part in enumerate(t.split(sep)) for x in (name_tokens if k == 0 else _TOKEN.findall)(fold(part))}))
 
     # both are read more than once: the texts' tokens by repair and ranking, the repairs by their count and the join
     tokens = cut(texts.select("text", tokenise("text").alias("tokens")))
-    vocabulary = spark.createDataFrame([(w,) for w in sorted(reference.idf)], "word string")
+    vocabulary = spark.createDataFrame([(w, "name") for w in sorted(reference.idf)] + [(w, "region") for w in sorted(reference.region_words)], "word string, kind string")
     repaired = cut(repair_tokens(tokens.select(F.explode("tokens").alias("token")).distinct(), vocabulary))
     fixes = (
         tokens.select("text", F.explode("tokens").alias("token"))
         .join(small(repaired, BROADCAST_ROWS), "token")
         .groupBy("text")
-        .agg(F.map_from_entries(F.collect_list(F.struct("token", F.struct("word", "likeness")))).alias("fixes"))
+        .agg(F.collect_list(F.struct("token", "kind", "word", "likeness")).alias("fixes"))
     )
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -298,9 +303,9 @@ def map_places(records: DataFrame, places: DataFrame) -> DataFrame:
             out = []
             for t, fixed in zip(b["text"], b["fixes"], strict=True):
                 parts = [fold(p) for p in t.split(sep)]
-                pairs = dict(fixed) if fixed is not None else {}
-                words = {k: (v["word"], v["likeness"]) for k, v in pairs.items()}
-                place, _ = ref.rank(name_tokens(parts[0]), words, ref.hints(*parts))
+                words = {v["token"]: (v["word"], v["likeness"]) for v in (fixed if fixed is not None else ()) if v["kind"] == "name"}
+                regions = {v["token"]: v["word"] for v in (fixed if fixed is not None else ()) if v["kind"] == "region"}
+                place, _ = ref.rank(name_tokens(parts[0]), words, ref.hints(*parts, regions))
                 out.append(place or "none")
             yield pd.DataFrame({"text": b["text"].to_numpy(), "place_id": pd.Series(out, dtype=object)})
 

@@ -32,7 +32,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _links(spark, sf_dir).select("record_id", "partner_id", "rule", "confidence")
+    return _links(spark, sf_dir).select("record_id", "partner_id", "rule", "confidence", "same", "different")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ from itertools import combinations
 
 import numpy as np
 
-from nightloom.llm.near_duplicates import Comparer, Signer, _PACKED, band_shape, near_duplicates
+from nightloom.llm import near_duplicates as module
+from nightloom.llm.near_duplicates import Comparer, Signer, bands_for, near_duplicate_classes, near_duplicates, packed_type, rows_for, sketches, width_of
 
 SCHEMA = "id string, text string, words string, copy string, key long, head string"
 
@@ -42,8 +43,44 @@ def test_against_all_pairs(spark):
             rows.append((f"g{g:02}-{k}", " ".join(words).title() + "!"))
     rows += [(f"copy{i:02}", " ".join(["same", "old", "words"] * 8)) for i in range(30)]
     rows += [("null", None), ("empty", ""), ("blank", " \t"), ("short", "too short"), (None, rows[0][1]), ("g00-0", rows[0][1]), ("long", "lorem " * 100_000), ("signs", "ñ" * 500)]
-    got = [tuple(r) for r in near_duplicates(spark.createDataFrame([(*r, "", "", 0, "") for r in rows], SCHEMA)).collect()]
+    df = spark.createDataFrame([(*r, "", "", 0, "") for r in rows], SCHEMA)
+    got = [tuple(r) for r in near_duplicates(df).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows)
+    # without a chance of a miss, by buckets of like lengths
+    assert {tuple(r) for r in near_duplicates(df, miss=None).collect()} == brute(rows)
+    links, members = near_duplicate_classes(df)
+    assert members.groupBy("head").count().agg({"count": "max"}).first()[0] == 30 and links.count() < len(got) - 400
+
+
+def test_texts_of_all_lengths(spark):
+    rng = random.Random(5)
+    rows = []
+    for n in (280, 299, 300, 301, 420, 430, 590, 605, 1190, 1210, 2500):
+        base = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        rows += [(f"t{n}-{k}", " ".join(base[: int(n * (1 - 0.1 * k))] + [f"x{k}"] * k)) for k in range(4)]
+    df = spark.createDataFrame([(*r, "", "", 0, "") for r in rows], SCHEMA)
+    assert {tuple(r) for r in near_duplicates(df).collect()} == {tuple(r) for r in near_duplicates(df, miss=None).collect()} == brute(rows)
+
+
+def test_an_id_with_two_texts_and_rows_told_often(spark):
+    rng = random.Random(8)
+    one, two = ([f"{p}{rng.randrange(500)}" for _ in range(60)] for p in "uv")
+    rows = [("a", " ".join(one)), ("b", " ".join(one)), ("b", " ".join(two)), ("c", " ".join([*two[:-2], "other"])), ("d", " ".join([*one[:-2], "other"]))]
+    df = spark.createDataFrame([(*r, "", "", 0, "") for r in rows * 40], SCHEMA)
+    assert {tuple(r) for r in near_duplicates(df).collect()} == brute(rows) == {("a", "b"), ("b", "c"), ("a", "d"), ("b", "d")}
+
+
+def test_rows_of_a_band_follow_the_buckets(spark, monkeypatch):
+    asked = []
+    plain = module.candidate_pairs
+    monkeypatch.setattr(module, "candidate_pairs", lambda reps, t, least, shape, hot: asked.append(shape) or plain(reps, t, least, shape, hot))
+    rng = random.Random(3)
+    rows = [(f"i{i:03}", " ".join(f"w{rng.randrange(60)}" for _ in range(60))) for i in range(120)]
+    df = spark.createDataFrame([(*r, "", "", 0, "") for r in rows], SCHEMA)
+    near_duplicates(df).count()
+    monkeypatch.setattr(module, "BUCKET", 1)
+    near_duplicates(df).count()
+    assert asked[0] == (3, 17) and asked[1][0] > 3 and asked[1][1] == bands_for(asked[1][0], 0.7, 1e-3)
 
 
 def test_hot_bucket_is_split(spark):
@@ -61,17 +98,20 @@ def test_empty(spark):
 def test_sketch_never_exceeds_difference():
     rng = random.Random(2)
     texts = [[f"w{rng.randrange(60)}" for _ in range(rng.randint(20, 200))] for _ in range(60)]
-    _, sketch, count = Signer(3, 5).sign(texts)
-    for i, j in combinations(range(60), 2):
-        far = int(np.bitwise_count(sketch[i] ^ sketch[j]).sum())
-        a, b = Counter(texts[i]), Counter(texts[j])
-        assert far <= sum(((a - b) + (b - a)).values())
+    _, count, bits = Signer(3, 5).sign(texts)
+    for width in (4, 16):
+        sketch = sketches(count, bits, width)
+        for i, j in combinations(range(60), 2):
+            far = int(np.bitwise_count(sketch[i] ^ sketch[j]).sum())
+            a, b = Counter(texts[i]), Counter(texts[j])
+            assert far <= sum(((a - b) + (b - a)).values())
     assert list(count) == [len(t) for t in texts]
+    assert width_of(np.array([1, 300, 301, 600, 601, 10**7])).tolist() == [4, 4, 8, 8, 16, 256]
 
 
 def test_tiles_equal_offsets():
     rng = np.random.default_rng(0)
-    rows = np.zeros(1300, _PACKED)
+    rows = np.zeros(1300, packed_type(4))
     rows["id"], rows["words"] = np.arange(1300), rng.integers(20, 120, 1300)
     base = rng.integers(0, 2**63, (50, 4), dtype=np.uint64) & rng.integers(0, 2**63, (50, 4), dtype=np.uint64) & rng.integers(0, 2**63, (50, 4), dtype=np.uint64)
     rows["sketch"] = base[rng.integers(0, 50, 1300)] ^ (np.uint64(1) << rng.integers(0, 63, (1300, 1), dtype=np.uint64))
@@ -82,6 +122,5 @@ def test_tiles_equal_offsets():
 
 
 def test_bands_keep_their_promise():
-    for n in (10, 10_000, 10_000_000, 10_000_000_000):
-        rows, bands = band_shape(n, 0.7)
-        assert (1 - 0.7**rows) ** bands <= 1e-3
+    for rows in (3, 6, 9, rows_for(10_000_000_000)):
+        assert (1 - 0.7**rows) ** bands_for(rows, 0.7, 1e-3) <= 1e-3
