@@ -115,7 +115,7 @@ def clip_segments(segs: DataFrame, lat: float, lon: float, km: float) -> DataFra
 def year_controls(left: DataFrame, right: DataFrame, days: int, km: float, size: float, first: str, last: str) -> DataFrame:
     """left_id, observed, controls, expected: neighbours in a window against the same dates one and two years off.
 
-    Only left rows all of whose windows lie inside the period count; expected is the
+    A row is no neighbour of its own. Only left rows all of whose windows lie inside the period count; expected is the
     controls' mean.
     """
     from nightloom.operators.proximity import day_window_pairs
@@ -124,7 +124,7 @@ def year_controls(left: DataFrame, right: DataFrame, days: int, km: float, size:
     at = left.select("id", "lat", "lon", F.explode(F.array(*[F.struct(F.lit(m).alias("shift"), F.add_months("day", m).alias("day")) for m in shifts])).alias("x")).select("id", "lat", "lon", "x.*")
     whole = at.groupBy("id").agg(F.min("day").alias("lo"), F.max("day").alias("hi")).where((F.date_add("lo", -days) >= F.lit(first).cast("date")) & (F.date_add("hi", days) <= F.lit(last).cast("date"))).select("id")
     keyed = at.join(whole, "id").select(F.struct("id", "shift").alias("id"), "day", "lat", "lon")
-    n = day_window_pairs(keyed, right, days, km, size).groupBy(F.col("left_id.id").alias("left_id")).agg(F.count_if(F.col("left_id.shift") == 0).alias("observed"), F.count_if(F.col("left_id.shift") != 0).alias("controls"))
+    n = day_window_pairs(keyed, right, days, km, size).where("left_id.id <> right_id").groupBy(F.col("left_id.id").alias("left_id")).agg(F.count_if(F.col("left_id.shift") == 0).alias("observed"), F.count_if(F.col("left_id.shift") != 0).alias("controls"))
     full = whole.select(F.col("id").alias("left_id")).join(n, "left_id", "left").fillna(0, ["observed", "controls"])
     return full.withColumn("expected", F.col("controls") / (len(shifts) - 1))
 
@@ -168,8 +168,3 @@ def zone_of_place(rows: DataFrame, aliases: DataFrame, column: str) -> DataFrame
     hit = words.join(aliases, "alias").groupBy("id", "kind").agg(F.min("zone").alias("zone"), F.max("zone").alias("_z"))
     sure = hit.where(F.col("zone") == F.col("_z")).groupBy("id").agg(F.min_by("zone", F.when(F.col("kind") == "state", 0).otherwise(1)).alias("zone"))
     return sure
-
-
-def rank_worklist(rows: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
-    w = Window.partitionBy(group).orderBy(*order)
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from nightloom.functions.text import searchable, stable_hash
 from nightloom.operators import facets, predicates, search
 from nightloom.operators.predicates import Filters
 from nightloom.plans.base import EVENTS_SQL, REPORTS_SQL, haversine_sql, reports, stream_events
-from nightloom.session import table
+from nightloom.session import ensure_checkpoint_dir, table
 
 _SELECT = {"source": ("skyledger", "harbor_log"), "type": ("light", "landing", "radar")}
 
@@ -80,10 +83,28 @@ def _search(query: str, mode: str = "auto"):
     return run
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> str:
+    """Where the index of the documents is, written on first use by an application."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _INDEXES:
+        path = os.path.join(ensure_checkpoint_dir(spark), f"text-index-{uuid.uuid4().hex}")
+        search.write_index(table(spark, sf_dir, "documents"), "doc_id", "text", path)
+        _INDEXES[at] = path
+    return _INDEXES[at]
+
+
+def search_index_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    postings, lexicon = search.read_index(spark, text_index(spark, sf_dir))
+    return lexicon.where(F.length("token") > 3).join(postings.groupBy("token").agg(F.min("id").alias("first_id")), "token")
+
+
 def search_postings_and_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    postings, lexicon = search.read_index(spark, text_index(spark, sf_dir))
     docs = table(spark, sf_dir, "documents")
-    postings = search.build_postings(docs, "doc_id", "text")
-    return search.search_postings(postings, docs, "doc_id", "text", 'beam AND ("grass lay flat" OR whistle)').select(F.col("id").alias("doc_id"))
+    return search.search_postings(postings, docs, "doc_id", "text", 'beam AND ("grass lay flat" OR whistle)', lexicon=lexicon).select(F.col("id").alias("doc_id"))
 
 
 def search_token_df(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +166,7 @@ QUERIES = {
     "filter_undated_passes": filter_undated_passes, "filter_area_rect_antimeridian": filter_area_rect_antimeridian, "filter_area_circle": filter_area_circle, "filter_any_shape": filter_any_shape,
     "filter_bitmask": filter_bitmask, "eligibility_reason": eligibility_reason, "evidence_states": evidence_states, "drill_page": drill_page,
     "search_literal": _search("grass lay flat"), "search_all": _search("beam whistle", "all"), "search_any": _search("pilot engineer", "any"), "search_expression": _search('"no sound" AND (boat OR horses) OR "blamed ball lightning"'),
-    "search_postings_and_or": search_postings_and_or, "search_token_df": search_token_df, "search_multi_field": search_multi_field, "search_highlights": search_highlights,
+    "search_postings_and_or": search_postings_and_or, "search_index_lexicon": search_index_lexicon, "search_token_df": search_token_df, "search_multi_field": search_multi_field, "search_highlights": search_highlights,
     "json_props_facet": json_props_facet, "missingness": missingness, "source_profile": source_profile, "row_hashes": row_hashes,
 }
 
@@ -177,6 +198,12 @@ SQL = {
     "search_expression": _search_sql(f"({_has('no sound')} and ({_has('boat')} or {_has('horses')})) or {_has('blamed ball lightning')}"),
     "search_postings_and_or": f"select doc_id from documents where {_has('beam')} and ({_has('grass lay flat')} or {_has('whistle')})",
     "search_token_df": r"select token, count(*) as df from (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')) as token from documents) group by 1",
+    "search_index_lexicon": r"select token, count(*) as df, min(doc_id) as first_id from (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')) as token from documents) where length(token) > 3 group by 1",
+    "search_highlights": """with t as (select doc_id, text, lower(text) as x from documents where contains(lower(text), 'beam') or contains(lower(text), 'horses') or contains(lower(text), 'bolted')),
+        h as (select doc_id, i, w from t, (values ('beam'), ('horses'), ('bolted')) v(w), unnest(range(1, length(x) - length(w) + 2)) r(i) where substr(x, i, length(w)) = w),
+        k as (select doc_id, i, i + length(w) as e from (select *, row_number() over (partition by doc_id order by i, w) as n from h) where n <= 128),
+        m as (select doc_id, count(*) filter (fresh) as ranges, min(i) as first from (select *, coalesce(i > max(e) over (partition by doc_id order by i, e rows between unbounded preceding and 1 preceding), true) as fresh from k) group by 1)
+        select doc_id, cast(ranges as int) as ranges, cast(least(240, length(text) - greatest(0, least(first - 80, length(text) - 239) - 1)) as int) as excerpt_chars from t join m using (doc_id)""",
     "search_multi_field": f"""with {REPORTS_SQL}, t as (select event_id, lower(coalesce(description, '') || chr(10) || coalesce(location, '') || chr(10) || coalesce(source, '') || chr(10) || coalesce(craft, '')) as x from reports)
         select event_id from t where contains(x, 'harbor_log') and (contains(x, 'disk') or contains(x, 'oval'))""",
     "json_props_facet": "select json_extract_string(props, '$.k') as k, event_type, count(*) as n from events group by 1, 2",

@@ -31,7 +31,7 @@ def craft_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def facility_lane_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = reports(spark, sf_dir).where("lat is not null and craft is not null")
     f = table(spark, sf_dir, "facility_point").where("lat is not null and not isnan(lat) and abs(lat) <= 90 and lon is not null and not isnan(lon) and abs(lon) <= 180").select(F.col("facility_source").alias("id"), "lat", "lon")
-    d = proximity.near_pairs(r.select(F.col("event_id").alias("id"), "lat", "lon"), f, 250.0, 10.0).where("right_id in ('harbor', 'range')").groupBy("left_id").agg(F.min("km").alias("km"))
+    d = proximity.near_pairs(r.select(F.col("event_id").alias("id"), "lat", "lon"), f, 250.0, 10.0).groupBy("left_id").agg(F.min("km").alias("km"))
     return _rounded(evidence.facility_lane(d.join(r, d["left_id"] == r["event_id"]).select("craft", "source", "km"), "craft", "source"), 4)
 
 
@@ -126,7 +126,7 @@ def _ring_sql() -> str:
 
 SQL = {
     "craft_exposure": f"with {_NIGHT_SQL}, e as (select distinct l.id, l.craft as focal, r.craft as neighbour from m l join m r on l.id <> r.id and abs(l.day - r.day) <= 365 and {haversine_sql('l.lat', 'l.lon', 'r.lat', 'r.lon')} <= 300) select focal, neighbour, count(*) as n from e group by 1, 2",
-    "facility_lane_odds": f"""with {REPORTS_SQL}, {_FACILITIES}, d as (select event_id, any_value(craft) as craft, any_value(source) as source, min({haversine_sql('r.lat', 'r.lon', 'f.lat', 'f.lon')}) as km from reports r, f where r.lat is not null and craft is not null and facility_source in ('harbor', 'range') and abs(r.lat - f.lat) < 2.5 group by 1),
+    "facility_lane_odds": f"""with {REPORTS_SQL}, {_FACILITIES}, d as (select event_id, any_value(craft) as craft, any_value(source) as source, min({haversine_sql('r.lat', 'r.lon', 'f.lat', 'f.lon')}) as km from reports r, f where r.lat is not null and craft is not null and abs(r.lat - f.lat) < 2.5 group by 1),
         l as (select craft, source, km <= 25 as near from d where km <= 25 or km between 100 and 250), t as (select source, count(*) filter (near) as na, count(*) filter (not near) as nc from l group by 1), g as (select craft, t.source, na, nc, (select count(*) from l where l.craft = k.craft and l.source = t.source and near) as a, (select count(*) from l where l.craft = k.craft and l.source = t.source and not near) as c from (select distinct craft from l) k, t where na > 0 and nc > 0),
         s as (select craft, a::double as x, (na - a)::double as b, c::double as c, (nc - c)::double as d, na::double as n1, nc::double as n0, (a + c)::double as m, (na + nc)::double as n from g),
         q as (select craft, count(*) as strata, sum(x) as o, sum(n1 * m / n) as e, sum(case when n > 1 then n1 * n0 * m * (n - m) / (n * n * (n - 1)) else 0 end) as v, sum(x * d / n) as r, sum(b * c / n) as s, sum((x + d) / n * x * d / n) as pr, sum((x + d) / n * b * c / n + (b + c) / n * x * d / n) as ps, sum((b + c) / n * b * c / n) as qs, sum(n) as total from s group by 1),

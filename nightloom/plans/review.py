@@ -12,7 +12,7 @@ from nightloom.operators import review, search, sky
 from nightloom.plans.base import REPORTS_SQL, haversine_sql, reports
 from nightloom.plans.spatial import _ORDERS_SQL, _mapped, _orders, _segs
 from nightloom.plans.statistics import _rounded
-from nightloom.session import table
+from nightloom.session import cut, table
 
 
 def _sky(spark: SparkSession) -> DataFrame:
@@ -57,8 +57,8 @@ def clipped_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def same_season_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _mapped(spark, sf_dir, "skyledger"), _mapped(spark, sf_dir, "harbor_log")
-    return _rounded(review.year_controls(a, b, 90, 500.0, 5.0, "1980-01-01", "2024-12-31"))
+    m = cut(_mapped(spark, sf_dir))
+    return _rounded(review.year_controls(m, m, 90, 500.0, 5.0, "1980-01-01", "2024-12-31"))
 
 
 def decision_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,8 +123,8 @@ SQL = {
     "clipped_segments": f"""with {_ORDERS_SQL}, u as (select trace_id, radians(from_lat) as p, radians(from_lon) as q, radians(to_lat) as r, radians(to_lon) as s from seg), v as (select trace_id, cos(p) * cos(q) as ux, cos(r) * cos(s) as vx, acos(greatest(-1, least(1, cos(p) * cos(q) * cos(r) * cos(s) + cos(p) * sin(q) * cos(r) * sin(s) + sin(p) * sin(r)))) as d from u),
         w as (select trace_id, d, ux as a, (vx - ux * cos(d)) / sin(d) as b from v where d > 0), k as (select *, sqrt(a * a + b * b) as m, atan2(b, a) as t from w), h as (select *, acos(least(1, cos(3000 / 6371.0088) / m)) as f from k where m >= cos(3000 / 6371.0088)), e as (select trace_id, greatest(0, (t - f) / d) as enter, least(1, (t + f) / d) as leave from h)
         select trace_id, round(enter, 5) as enter, round(leave, 5) as leave from e where enter <= leave""",
-    "same_season_controls": f"""with {REPORTS_SQL}, m as (select event_id as id, day, lat, lon, source from reports where lat is not null and day is not null), l as (select id, lat, lon, k, cast(day + to_months(k) as date) as day from m, (values (0), (-24), (-12), (12), (24)) t(k) where source = 'skyledger'),
-        w as (select id from l group by 1 having min(day) - 90 >= date '1980-01-01' and max(day) + 90 <= date '2024-12-31'), j as (select l.id, k from l join w using (id) join m r on r.source = 'harbor_log' and abs(l.day - r.day) <= 90 and {haversine_sql('l.lat', 'l.lon', 'r.lat', 'r.lon')} <= 500)
+    "same_season_controls": f"""with {REPORTS_SQL}, m as (select event_id as id, day, lat, lon, source from reports where lat is not null and day is not null), l as (select id, lat, lon, k, cast(day + to_months(k) as date) as day from m, (values (0), (-24), (-12), (12), (24)) t(k)),
+        w as (select id from l group by 1 having min(day) - 90 >= date '1980-01-01' and max(day) + 90 <= date '2024-12-31'), j as (select l.id, k from l join w using (id) join m r on r.id <> l.id and abs(l.day - r.day) <= 90 and {haversine_sql('l.lat', 'l.lon', 'r.lat', 'r.lon')} <= 500)
         select id as left_id, count(k) filter (k = 0) as observed, count(k) filter (k <> 0) as controls, round(count(k) filter (k <> 0) / 4, 5) as expected from w left join j using (id) group by 1""",
     "decision_problems": """with d as (select lower(trim(left_input_id)) as id, min(lower(trim(verdict))) as a, max(lower(trim(verdict))) as b, count(*) filter (lower(trim(verdict)) not in ('same', 'different')) as bad from match_pair where left_input_id is not null group by 1),
         p as (select case when id not in (select lower(input_id) from compact_record) then 'unknown_key' when bad > 0 then 'invalid_decision' when a <> b then 'contradiction' end as problem from d) select problem, count(*) as n from p where problem is not null group by 1""",

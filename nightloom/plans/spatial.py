@@ -72,14 +72,13 @@ def interval_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(proximity.interval_state(F.col("at"), F.when(F.col("event_id") % 11 != 0, spans), 15).alias("state")).groupBy("state").agg(F.count("*").alias("n"))
 
 
-def _mapped(spark: SparkSession, sf_dir: str, source: str | None = None) -> DataFrame:
-    r = reports(spark, sf_dir)
-    return (r if source is None else r.where(F.col("source") == source)).where("lat is not null and day is not null").select(F.col("event_id").alias("id"), "day", "lat", "lon", "craft")
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports(spark, sf_dir).where("lat is not null and day is not null").select(F.col("event_id").alias("id"), "day", "lat", "lon", "craft")
 
 
 def day_window_radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _mapped(spark, sf_dir, "skyledger"), _mapped(spark, sf_dir, "nightwatch_club")
-    return _rounded(proximity.day_window_pairs(a, b, 400, 500.0, 5.0), 4)
+    m = cut(_mapped(spark, sf_dir))
+    return _rounded(proximity.day_window_pairs(m, m, 400, 500.0, 5.0).where("left_id < right_id"), 4)
 
 
 def first_later_day_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +205,7 @@ def best_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verdict_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "match_pair").where("verdict = 'review'").select(F.lower(F.trim("left_input_id")).alias("a"), F.lower(F.trim("right_input_id")).alias("b"))
+    m = table(spark, sf_dir, "match_pair").select(F.lower(F.trim("left_input_id")).alias("a"), F.lower(F.trim("right_input_id")).alias("b"))
     return graph.components(m).groupBy("root").agg(F.count("*").alias("members"))
 
 
@@ -276,7 +275,7 @@ SQL = {
         s2 as (select f.trace_id, f.to_id, 2 as hop from f where from_id in (select to_id from s1)), s3 as (select f.trace_id, f.to_id, 3 as hop from f where from_id in (select to_id from s2)) select trace_id, min(hop) as hop from (select * from s1 union all select * from s2 union all select * from s3) group by 1""",
     "interval_order": "with x as (select cast(o_orderdate as date) as a, cast(o_orderdate as date) + 30 as b, cast(l_shipdate as date) - 2 as c, cast(l_shipdate as date) + 2 as d from lineitem join orders on l_orderkey = o_orderkey) select case when a is null or c is null then 'unknown' when b < c then 'ordered' when d < a then 'reversed' else 'unknown' end as state, count(*) as n from x group by 1",
     "interval_state": f"with {_ORDERS_SQL}, x as (select event_id as e, (day - date '1970-01-01') as t, 9500 + event_id % 700 as a, 9900 + event_id % 700 as b from od) select case when e % 11 = 0 then 'unknown' when (t >= a + 15 and t <= b - 15) or (t >= 10815 and t <= 11185) then 'active' when (t >= a - 15 and t <= b + 15) or (t >= 10785 and t <= 11215) then 'unknown' else 'inactive' end as state, count(*) as n from x group by 1",
-    "day_window_radius_join": f"with {REPORTS_SQL}, m as (select * from reports where lat is not null and day is not null), j as (select l.event_id as left_id, r.event_id as right_id, l.day - r.day as lag, {haversine_sql('l.lat', 'l.lon', 'r.lat', 'r.lon')} as km from m l, m r where l.source = 'skyledger' and r.source = 'nightwatch_club' and abs(l.day - r.day) <= 400) select left_id, right_id, lag, round(km, 4) as km, case when lag < 0 then 'before' when lag > 0 then 'after' else 'same' end as phase from j where km <= 500",
+    "day_window_radius_join": f"with {REPORTS_SQL}, m as (select * from reports where lat is not null and day is not null), j as (select l.event_id as left_id, r.event_id as right_id, l.day - r.day as lag, {haversine_sql('l.lat', 'l.lon', 'r.lat', 'r.lon')} as km from m l, m r where l.event_id < r.event_id and abs(l.day - r.day) <= 400) select left_id, right_id, lag, round(km, 4) as km, case when lag < 0 then 'before' when lag > 0 then 'after' else 'same' end as phase from j where km <= 500",
     "first_later_day_nearest": f"with {REPORTS_SQL}, m as (select * from reports where lat is not null and day is not null), j as (select l.event_id as from_id, r.event_id as to_id, r.day - l.day as gap, {haversine_sql('l.lat', 'l.lon', 'r.lat', 'r.lon')} as km from m l join m r on r.day - l.day between 1 and 365), k as (select *, row_number() over (partition by from_id order by gap, km, to_id) as k from j where km <= 300) select from_id, to_id, gap, round(km, 4) as km from k where k = 1",
     "nearest_within": f"with {REPORTS_SQL}, {_FACILITIES}, j as (select event_id, min({haversine_sql('r.lat', 'r.lon', 'f.lat', 'f.lon')}) as km from reports r, f where r.lat is not null and abs(r.lat - f.lat) < 0.5 group by 1) select cast(floor(km) as int) as km, count(*) as n from j where km <= 50 group by 1",
     "facility_classes": f"with {REPORTS_SQL}, {_FACILITIES}, j as (select event_id, facility_source as right_id, min({haversine_sql('r.lat', 'r.lon', 'f.lat', 'f.lon')}) as km from reports r, f where r.lat is not null and abs(r.lat - f.lat) < 2.5 group by 1, 2) select right_id, case when km <= 25 then 'near' else 'comparison' end as lane, count(*) as n from j where km <= 25 or km between 100 and 250 group by 1, 2",
@@ -311,7 +310,7 @@ SQL = {
     "topk_per_band": f"with {_SCORE_SQL} select * from (select left_id, right_id, score, band, row_number() over (partition by band order by score desc, left_id, right_id) as rank from b) where rank <= 20",
     "primary_record": "select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey desc) as k from orders) where k = 1",
     "best_pairs": "with m as (select lower(trim(left_input_id)) as x, lower(trim(right_input_id)) as y, score from match_pair) select least(x, y) as a, greatest(x, y) as b, max(score) as score from m where x is not null and y is not null group by 1, 2",
-    "verdict_components": """with recursive m as (select lower(trim(left_input_id)) as a, lower(trim(right_input_id)) as b from match_pair where verdict = 'review'), e as (select a as u, b as v from m where a is not null and b is not null and a <> b union select b, a from m where a is not null and b is not null and a <> b),
+    "verdict_components": """with recursive m as (select lower(trim(left_input_id)) as a, lower(trim(right_input_id)) as b from match_pair), e as (select a as u, b as v from m where a is not null and b is not null and a <> b union select b, a from m where a is not null and b is not null and a <> b),
         r(node, other) as (select distinct u, u from e union select r.node, e.v from r join e on e.u = r.other), c as (select node, min(other) as root from r group by 1) select root, count(*) as members from c group by 1""",
     "guarded_patches": "select p_partkey, case when p_partkey % 14 = 0 then 'Brand#fixed' else p_brand end as p_brand, p_partkey % 14 = 0 as applied from part",
     "gazetteer_unique": "select lower(city) as city, min(place_id) as place_id from place_ref group by 1 having count(distinct place_id) = 1",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightloom.operators.instants import normalise_instants
-from nightloom.operators.nearby import within_distance
+from nightloom.operators.nearby import within_distance, within_regions
 from nightloom.plans import assessments, catalogue, evidence, merging, review, spatial, statistics, texts
 from nightloom.session import table
 
@@ -19,6 +19,28 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return within_distance(points, sites, 5.0).selectExpr("id as canonical_input_id", "site as facility_key")
 
 
+#: Rings of latitude and longitude: a five-sided one, one with a notch, one over the date line, and one that overlaps the first.
+REGIONS = {
+    "plains": [(30.0, -115.0), (42.0, -118.0), (49.0, -104.0), (45.0, -95.0), (31.0, -90.0)], "north sea": [(50.0, -6.0), (60.0, -6.0), (60.0, 10.0), (55.0, 0.0), (50.0, 10.0)],
+    "pacific": [(-50.0, 160.0), (10.0, 150.0), (20.0, 200.0), (-45.0, 190.0)], "south": [(20.0, -110.0), (36.0, -110.0), (36.0, -75.0), (20.0, -75.0)],
+}
+
+
+def p4_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the regions hold each position."""
+    points = table(spark, sf_dir, "canonical_input").selectExpr("canonical_input_id as id", "lat", "lon").where("not (lat = 0 and lon = 0)")
+    rings = spark.createDataFrame([(name, [(float(a), float(b)) for a, b in ring]) for name, ring in REGIONS.items()], "region string, ring array<struct<lat:double,lon:double>>")
+    return within_regions(points, rings).select(F.col("id").alias("canonical_input_id"), "region")
+
+
+def _regions_sql() -> str:
+    tests = []
+    for name, ring in REGIONS.items():
+        edges = [f"case when ({y1} > lat) <> ({y2} > lat) and x < {x1} + (lat - {y1}) * ({x2 - x1}::double / {y2 - y1}::double) then 1 else 0 end" for (y1, x1), (y2, x2) in zip(ring, [*ring[1:], ring[0]], strict=True) if y1 != y2]
+        tests.append(f"select canonical_input_id, '{name}' as region from p where ({' + '.join(edges)}) % 2 = 1")
+    return " union ".join(tests)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = normalise_instants(table(spark, sf_dir, "canonical_input"), table(spark, sf_dir, "source_registry"))
     return found.select("canonical_input_id", "utc_seconds")
@@ -47,10 +69,13 @@ where abs(p.lat - s.lat) <= 0.05
   and 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(s.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - p.lon) / 2), 2)))) <= 5
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p6_found": p6_found, "p6_inferred": p6_inferred}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_regions": p4_regions, "p6_found": p6_found, "p6_inferred": p6_inferred}
 for part in (catalogue, statistics, spatial, texts, evidence, assessments, review, merging):
     QUERIES |= part.QUERIES
-SQL: dict[str, str] = {"p4_found": P4_SQL}
+P4_REGIONS_SQL = f"""with p as (select distinct canonical_input_id, lat, ((lon + 180) - 360 * floor((lon + 180) / 360)) - 180 + turn as x from canonical_input, (values (-360.0::double), (0.0), (360.0)) t(turn)
+  where canonical_input_id is not null and lat is not null and lon is not null and not isnan(lat) and not isnan(lon) and abs(lat) <= 90 and not (lat = 0 and lon = 0)) {_regions_sql()}"""
+
+SQL: dict[str, str] = {"p4_found": P4_SQL, "p4_regions": P4_REGIONS_SQL}
 for part in (catalogue, statistics, spatial, texts, evidence, assessments, review, merging):
     SQL |= part.SQL
 
