@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nightloom.functions.geo import mercator_pixel
@@ -99,8 +99,13 @@ def similar_segments(segs: DataFrame, size: float) -> DataFrame:
 
 
 def result_page(rows: DataFrame, order: list[str], target: str, value: object, size: int) -> DataFrame:
-    """The page of ``size`` rows, in order, that holds the row of a key."""
-    w = Window.orderBy(*order)
-    numbered = rows.withColumn("_k", F.row_number().over(w) - 1)
-    at = numbered.where(F.col(target) == F.lit(value)).agg(F.floor(F.min("_k") / size).alias("_p"))
-    return numbered.crossJoin(F.broadcast(at)).where(F.floor(F.col("_k") / size) == F.col("_p")).drop("_k", "_p")
+    """The page of ``size`` rows, in order, that holds the first row of a key; empty without one.
+
+    The rows before it are counted, and only those up to the page's end are put in order.
+    """
+    found = rows.where(F.col(target) == F.lit(value)).orderBy(*order).limit(1).collect()
+    if not found:
+        return rows.limit(0)
+    at = F.struct(*[F.lit(found[0][c]).cast(rows.schema[c].dataType).alias(c) for c in order])
+    page = rows.where(F.struct(*order) < at).count() // size
+    return rows.orderBy(*order).offset(page * size).limit(size)

@@ -80,8 +80,8 @@ def facility_lane(distances: DataFrame, category: str, stratum: str) -> DataFram
     lane = distances.select(category, stratum, near_or_comparison(F.col("km")).alias("lane")).where("lane is not null")
     n = lane.groupBy(stratum, category).agg(F.count_if(F.col("lane") == "near").alias("a"), F.count_if(F.col("lane") == "comparison").alias("c"))
     total = lane.groupBy(stratum).agg(F.count_if(F.col("lane") == "near").alias("a_total"), F.count_if(F.col("lane") == "comparison").alias("c_total"))
-    # a stratum without the category still counts in its totals
-    grid = n.select(category).distinct().crossJoin(F.broadcast(total))
+    # a stratum without the category still counts in its totals; strata and categories are labels, their pairs no more than a matrix of them
+    grid = n.select(category).distinct().join(small(total))
     full = grid.join(n, [stratum, category], "left").fillna(0, ["a", "c"])
     return mantel_haenszel(full, [category])
 

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightloom.functions.dates import clock_minutes
-from nightloom.operators import atlas
+from nightloom.operators import atlas, cohort, document
 from nightloom.operators.predicates import Filters
 from nightloom.plans.application import Catalogue
-from nightloom.plans.base import REPORTS_SQL, reports, stream_events
+from nightloom.plans.base import EVENTS_SQL, REPORTS_SQL, reports, stream_events
 from nightloom.plans.spatial import _ORDERS_SQL, _segs
 from nightloom.plans.statistics import _L1, _L2, _P_SQL, _U1, _U2, _rounded
 from nightloom.plans.texts import _ONE
@@ -63,7 +63,14 @@ def catalogue_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(Catalogue(rows).analyse(Filters(), "2000-01-01", "2009-12-31", "other_dates_balanced", ("source", "legend")), 4)
 
 
-QUERIES = {f.__name__: f for f in (evidence_atlas, atlas_states, duration_assessment, clock_assessment, bounded_clusters, neighbourhood_both_ways, similar_segments, result_page, catalogue_analysis)}
+def analysis_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven families of the dated reports, the first decade of the century against other dates, within countries."""
+    r = cohort.label_cohorts(reports(spark, sf_dir).where("day is not null"), "day", "2000-01-01", "2009-12-31", "other_dates_balanced")
+    families = {c: F.col(c) for c in ("type", "craft", "precision", "coordinate_source")} | {"month": F.month("day"), "weekday": F.weekday("day"), "mapped": F.col("lat").isNotNull()}
+    return _rounded(document.analysis_document(document.comparison_cells(r, families, F.col("country"), F.col("source"))))
+
+
+QUERIES = {f.__name__: f for f in (analysis_document, evidence_atlas, atlas_states, duration_assessment, clock_assessment, bounded_clusters, neighbourhood_both_ways, similar_segments, result_page, catalogue_analysis)}
 
 _ATLAS = f"""{REPORTS_SQL}, t as (select 'craft' as axis, type as row, craft as v, case when date_precision = 'approximate' then 'excluded' when craft is null then 'unknown' else 'supported' end as state, source from reports
   union all select 'country', type, country, case when lat is null then 'not_loaded' when country is null then 'unknown' else 'supported' end, source from reports)"""
@@ -78,6 +85,14 @@ SQL = {
         r as (select *, row_number() over (partition by family order by p, key) as k, count(*) over (partition by family) as m from p)
         select family, key, a, c, round(p1, 4) as active_share, round(p2, 4) as reference_share, round(greatest(p1 - p2 - sqrt(pow(p1 - l1, 2) + pow(u2 - p2, 2)), -1), 4) as lower, round(least(p1 - p2 + sqrt(pow(u1 - p1, 2) + pow(p2 - l2, 2)), 1), 4) as upper, round(p, 4) as p,
         round(least(1.0, min(p * m / k) over (partition by family order by p, key rows between current row and unbounded following)), 4) as q from r""",
+    "duration_assessment": rf"""with {_ONE}, t as (select source_name, regexp_replace(lower(trim(duration_raw)), '\b(?:about|approx\.?|around|nearly|roughly|over|a few)\b\s*', '', 'g') as x from c),
+        p as (select source_name, case when regexp_matches(x, '\bsec|\bs$|\ds\b') then 1 when regexp_matches(x, '\bmin|\bm$|\dm\b') then 60 when regexp_matches(x, '\bhou?r|\bhrs?\b|\dh\b') then 3600 when regexp_matches(x, '\bday') then 86400 end as unit,
+          try_cast(nullif(regexp_extract(x, '(\d+(?:\.\d+)?)', 1), '') as double) as a, try_cast(nullif(regexp_extract(x, '\d\s*(?:-|to)\s*(\d+(?:\.\d+)?)', 1), '') as double) as b, case when regexp_matches(x, '^(?:an?|one)\b') then 1.0 when regexp_matches(x, '^half an?\b') then 0.5 end as one from t),
+        s as (select source_name, coalesce((a + b) / 2, a, one) * unit as s from p)
+        select source_name, case when s <= 10 then 'up_to_10_seconds' when s <= 60 then 'up_to_minute' when s <= 600 then 'up_to_10_minutes' when s <= 3600 then 'up_to_hour' when s is not null then 'over_hour' end as bin, count(*) as n from s group by 1, 2""",
+    "bounded_clusters": f"""with {EVENTS_SQL}, p as (select cast(floor((lon + 180) / 360 * 2048 / 40) as bigint) as gx, radians(greatest(-85.05112878, least(85.05112878, lat))) as phi from ev), c as (select gx, cast(floor((1 - ln(tan(phi) + 1 / cos(phi)) / 3.141592653589793) / 2 * 2048 / 40) as bigint) as gy from p),
+        s as (select i, count(distinct (cast(floor(gx / pow(2, i)) as bigint), cast(floor(gy / pow(2, i)) as bigint))) as cells, count(*) as points from c, range(0, 7) r(i) group by 1)
+        select cells, points, cast(40 * pow(2, i) as int) as cell_px from s where i = (select coalesce(min(i) filter (cells <= 200), 6) from s)""",
     "atlas_states": f"with {_ATLAS} select axis, state, count(*) as n from t group by 1, 2",
     "clock_assessment": f"""with {_ONE}, t as (select source_name, regexp_replace(lower(trim(time_raw)), '^(?:at|approx\\.?|about)\\s+|\\s*(?:hrs|hours)$', '', 'g') as x from c),
         p as (select *, regexp_extract(x, '^(\\d{{1,2}})[:h](\\d{{2}})(?::\\d{{2}}(?:\\.\\d+)?)?$', ['h', 'm']) as a, regexp_extract(x, '^(\\d{{2}})(\\d{{2}})$', ['h', 'm']) as b, regexp_extract(x, '^(\\d{{1,2}})(?:[:.](\\d{{2}}))?\\s*([ap])\\.?m\\.?$', ['h', 'm', 'p']) as d from t),

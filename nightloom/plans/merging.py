@@ -90,6 +90,11 @@ SQL = {
               case when sure then round_even(cast(lat as decimal(18, 12)), 3) || ',' || round_even(cast(lon as decimal(18, 12)), 3) end as coord, case when sure then cast(trunc(lat / 0.05) as int) || ',' || cast(trunc(lon / 0.05) as int) end as cell,
               case when day is not null and l_key is not null and d_key is not null then day || chr(10) || l_key || chr(10) || d_key || chr(10) || coalesce(t_key, '') end as fingerprint from n),
         f as ({_families_sql()}), g as (select family, key, count(*) as n from f group by 1, 2 having count(*) > 1) select family, count(*) as groups, sum(n) as records, sum(n - 1) as removable from g group by 1""",
+    "location_precision": rf"""with c as (select *, row_number() over (partition by canonical_input_id order by ingested_at) as k from canonical_input), r as (select {clean_sql('location_raw')} as t from c where k = 1),
+        b as (select t, lower(trim(t)) as low, trim(regexp_replace(regexp_replace(t, '[\(\[].*?[\)\]]', ' ', 'g'), '\s+', ' ', 'g')) as bare from r where t is not null),
+        n as (select *, regexp_replace(bare, '(?i)^(?:near|just outside|outskirts of|in/around|approx\.?\s*\d+\s*km \w+ of|\d+ mi \w+ of)\s+', '') as lead from b), p as (select *, regexp_split_to_array(lead, '\s*[,;/]\s*') as parts from n)
+        select case when regexp_matches(low, '\b(?:near|outside|outskirts|around|vicinity|approx|mi [nsew]|km (?:north|south|east|west))') then 'approximate' when len(regexp_split_to_array(low, '[,;/]')) >= 2 then 'city' when length(low) <= 3 then 'region' when low <> '' then 'place' else 'unknown' end as precision,
+          cast(len(list_distinct(list_filter([t, bare, lead, parts[1], case when len(parts) > 1 then array_to_string(parts[2:11], ', ') end], lambda x: length(trim(x)) > 0))) as int) as queries, count(*) as n from p group by 1, 2""",
     "time_token_classes": """with t as (select lower(trim(time_raw)) as x from canonical_input) select case when regexp_matches(x, '^(?:at )?(?:[01]?\\d|2[0-3])[:h.][0-5]\\d(?:[:.]\\d+)*\\s*(?:[ap]\\.?m\\.?)?$|^(?:[01]\\d|2[0-3])[0-5]\\d(?: hrs)?$|^\\d{1,2}\\s*[ap]\\.?m\\.?$') then 'exact'
         when regexp_matches(x, '^(?:approx|about|around|circa|~)|dawn|dusk|night|evening|morning|noon|afternoon') then 'fuzzy' when regexp_matches(x, '^\\d{1,2}(?:\\s*o''?clock)?$') then 'ambiguous' else 'none' end as class, count(*) as n from t group by 1""",
     "column_accounting": "select source_name, c as column, count(*) as rows, count(*) filter (trim(coalesce(v, '')) <> '') as filled from (select source_name, unnest(['date_raw', 'time_raw', 'city', 'shape_raw', 'summary', 'source_url']) as c, unnest([date_raw, time_raw, city, shape_raw, summary, source_url]) as v from canonical_input) group by 1, 2",

