@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nightloom.functions.geo import haversine_km
+from nightloom.functions.geo import EARTH_KM, haversine_km
 from nightloom.session import small
 
 
@@ -179,33 +183,102 @@ def crossings(segments: DataFrame, size: float = 10.0, buffer_km: float = 0.0, l
     return met.where(F.col("angle") + 1e-10 >= least_angle).select(F.col("a_trace_id").alias("a"), F.col("b_trace_id").alias("b"), "lat", "lon", "angle")
 
 
-def day_forest(points: DataFrame, km: float, size: float = 5.0) -> DataFrame:
-    """day, a, b, km: a minimum spanning forest of each day's points, edges within ``km``, by Borůvka's rounds of joins.
+def forest_edges(lat: np.ndarray, lon: np.ndarray, km: float) -> list[tuple[int, int]]:
+    """Edges (i, j), i < j, of the minimum spanning forest over all pairs apart and within ``km``, by Prim's steps; equal distances go by (i, j)."""
+    phi = np.radians(lat)
+    cos = np.cos(phi)
+    at, n, out = 0, len(lat) - 1, []
+    # points outside the tree with their nearest edge into it; the last fills the gap of one taken out
+    rest, best, low, high = np.arange(1, n + 1), np.full(n, np.inf), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    while n:
+        r = rest[:n]
+        h = np.sin((phi[r] - phi[at]) / 2) ** 2 + cos[at] * cos[r] * np.sin(np.radians(lon[r] - lon[at]) / 2) ** 2
+        d = 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1.0, h)))
+        d[~((d > 0) & (d <= km))] = np.inf
+        a, b = np.minimum(r, at), np.maximum(r, at)
+        closer = (d < best[:n]) | ((d == best[:n]) & (d < np.inf) & ((a < low[:n]) | ((a == low[:n]) & (b < high[:n]))))
+        for old, new in ((best, d), (low, a), (high, b)):
+            old[:n][closer] = new[closer]
+        k = int(best[:n].argmin())
+        if best[k] < np.inf:
+            ties = np.flatnonzero(best[:n] == best[k])
+            k = int(ties[np.lexsort((high[ties], low[ties]))[0]])
+            out.append((int(low[k]), int(high[k])))
+        at, n = int(rest[k]), n - 1
+        for x in (rest, best, low, high):
+            x[k] = x[n]
+    return out
 
-    A day's points are never gathered in one task: each round takes every tree's
-    nearest edge to another tree and merges by components.
-    """
+
+def _least_edges(edges: DataFrame) -> DataFrame:
+    """day, a, b, km: the minimum spanning forest of such edges by Borůvka's rounds: every tree's nearest edge to another tree, then components."""
     from nightloom.operators.graph import components
-    from nightloom.session import cut
+    from nightloom.session import written
 
-    p = points.select("id", "day", "lat", "lon")
-    edges = day_window_pairs(p, p, 0, km, size).where("left_id < right_id and km > 0").select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), "km")
-    edges = cut(edges.distinct())
+    edges = written(edges.distinct())
     kept = None
-    label = p.select("id", F.col("id").alias("tree"))
+    label = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.col("id").alias("tree"))
+    nodes = label.select("id")
     for _ in range(40):
         a, b = label.select(F.col("id").alias("a"), F.col("tree").alias("ta")), label.select(F.col("id").alias("b"), F.col("tree").alias("tb"))
         between = edges.join(a, "a").join(b, "b").where("ta <> tb")
-        both = between.select(F.col("ta").alias("t"), "a", "b", "km").union(between.select(F.col("tb").alias("t"), "a", "b", "km"))
-        chosen = cut(both.groupBy("t").agg(F.min(F.struct("km", "a", "b")).alias("m")).select("m.a", "m.b", "m.km").distinct())
+        both = between.select(F.col("ta").alias("t"), "day", "a", "b", "km").union(between.select(F.col("tb").alias("t"), "day", "a", "b", "km"))
+        chosen = written(both.groupBy("t").agg(F.min(F.struct("km", "a", "b", "day")).alias("m")).select("m.day", "m.a", "m.b", "m.km").distinct())
         if chosen.isEmpty():
             break
-        kept = chosen if kept is None else cut(kept.union(chosen).distinct())
-        found = components(kept.select("a", "b"))
-        label = cut(p.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("tree")))
-    if kept is None:
-        kept = edges.limit(0)
-    return kept.join(p.select(F.col("id").alias("a"), "day"), "a").select("day", "a", "b", "km")
+        kept = chosen if kept is None else written(kept.union(chosen).distinct())
+        found = components(kept.select("a", "b"), keep=written)
+        label = written(nodes.join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("tree")))
+    return edges.limit(0) if kept is None else kept
+
+
+def day_forest(points: DataFrame, km: float, block: int = 8192) -> DataFrame:
+    """day, a, b, km: a minimum spanning forest of each day's points, edges apart and within ``km``; equal distances go by (a, b).
+
+    Pairs are never written out: a day of at most ``block`` points is solved from
+    its positions in one task. The points of a larger day are dealt to blocks, every
+    two blocks are solved together, in tasks of their own, and only the edges left
+    by them, among which is the day's whole forest, go into rounds of joins.
+    """
+    from nightloom.session import cut
+
+    spark = points.sparkSession
+    p = cut(points.where("id is not null and day is not null and lat is not null and lon is not null").select("id", F.unix_date("day").alias("day"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")))
+    days = p.groupBy("day").agg(F.ceil(F.count("*") / block).alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    dealt = p.join(days, "day").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("blocks = 1 or own <> other")
+    dealt = dealt.select("day", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "lat", "lon")
+    # as many tasks as the session shuffles to: by bytes, the points would end in too few
+    ordered = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "day", "i", "j").sortWithinPartitions("day", "i", "j", "id")
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def edges(rows: pd.DataFrame, bounds: list[int]) -> pd.DataFrame:
+            lat, lon = rows["lat"].to_numpy(), rows["lon"].to_numpy()
+            ends = [(s + i, s + j) for s, e in zip(bounds, bounds[1:]) for i, j in forest_edges(lat[s:e], lon[s:e], km)]
+            left, right = (rows.iloc[[x[k] for x in ends]].reset_index(drop=True) for k in (0, 1))
+            return pd.DataFrame({"day": left["day"], "j": left["j"], "a": left["id"], "a_lat": left["lat"], "a_lon": left["lon"], "b": right["id"], "b_lat": right["lat"], "b_lon": right["lon"]})
+
+        open_rows: list[pd.DataFrame] = []  # of the group that may go on in the next batch
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = pd.concat([*open_rows, batch], ignore_index=True) if open_rows else batch
+            keys = rows[["day", "i", "j"]].to_numpy()
+            bounds = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
+            if len(bounds) > 1:
+                yield edges(rows, bounds)
+            open_rows = [rows.iloc[bounds[-1] :]]
+        if open_rows:
+            yield edges(open_rows[0], [0, len(open_rows[0])])
+
+    kind = points.schema["id"].dataType.simpleString()
+    solved = ordered.mapInPandas(solve, f"day int, j long, a {kind}, a_lat double, a_lon double, b {kind}, b_lat double, b_lon double")
+    # distances again by the expression that other queries use
+    solved = solved.select(F.date_from_unix_date("day").alias("day"), "j", "a", "b", haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")).alias("km"))
+    if days.where("blocks > 1").isEmpty():
+        return solved.drop("j")
+    solved = cut(solved)
+    return solved.where("j = 0").drop("j").union(_least_edges(solved.where("j > 0").drop("j")))
 
 
 def near_or_comparison(km: Column, near: float = 25.0, low: float = 100.0, high: float = 250.0) -> Column:

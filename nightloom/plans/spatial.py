@@ -147,7 +147,7 @@ def sunset_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def day_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = reports(spark, sf_dir).where("lat is not null and day is not null").select(F.col("event_id").alias("id"), "day", "lat", "lon")
-    return _rounded(proximity.day_forest(r, 3000.0, 15.0), 4)
+    return _rounded(proximity.day_forest(r, 3000.0), 4)
 
 
 def calendar_exposure_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
+import random
 
 import numpy as np
 import pytest
@@ -95,6 +97,61 @@ def test_spanning_forest(spark):
     assert sorted((r["a"], r["b"]) for r in f) == [(str(i), str(i + 1)) for i in range(5)]
 
 
+def _kruskal(rows, km):
+    """The forest by trying all pairs of a day in order of (km, ids)."""
+    def far(p, q):
+        h = math.sin((math.radians(q[2]) - math.radians(p[2])) / 2) ** 2 + math.cos(math.radians(p[2])) * math.cos(math.radians(q[2])) * math.sin(math.radians(q[3] - p[3]) / 2) ** 2
+        return 2 * 6371.0088 * math.asin(min(1.0, math.sqrt(h)))
+
+    root, out = {r[0]: r[0] for r in rows}, []
+    pairs = sorted((far(p, q), p[0], q[0], p[1]) for p in rows for q in rows if p[0] < q[0] and p[1] == q[1])
+    for d, a, b, day in pairs:
+        if 0 < d <= km and root[a] != root[b]:
+            out.append((day, a, b, round(d, 6)))
+            root = {k: root[a] if v == root[b] else v for k, v in root.items()}
+    return sorted(out)
+
+
+_POINTS = "id string, day date, lat double, lon double"
+
+
+def _forest(spark, rows, km, **more):
+    return sorted((r["day"], r["a"], r["b"], round(r["km"], 6)) for r in proximity.day_forest(spark.createDataFrame(rows, _POINTS), km, **more).collect())
+
+
+def test_spanning_forest_of_many_rounds(spark):
+    """Trees that only ever join in twos: the estimates of the former rounds of joins filled the driver."""
+    at, rows = 0.0, []
+    for i in range(1, 65):
+        rows.append((f"{i:02d}", dt.date(2000, 1, 1), 0.0, round(at, 4)))
+        at += 0.1 * (i & -i) + 0.001 * i
+    assert _forest(spark, rows, 3000.0) == _kruskal(rows, 3000.0) and len(_kruskal(rows, 3000.0)) == 63
+    assert _forest(spark, rows, 3000.0, block=16) == _kruskal(rows, 3000.0)
+
+
+def test_spanning_forest_equals_kruskal(spark):
+    rng = random.Random(7)
+    rows = [(f"p{i}", dt.date(2000, 1, 1 + rng.randrange(6) * rng.randrange(2)), round(rng.uniform(-89, 89), 1), round(rng.uniform(-180, 180), 1)) for i in range(150)]
+    rows += [(f"q{i}", r[1], r[2], r[3]) for i, r in enumerate(rows[:20])]  # positions that are shared
+    rows += [("n", dt.date(2000, 1, 1), 90.0, 0.0), ("w", dt.date(2000, 1, 2), 0.0, -180.0), ("e", dt.date(2000, 1, 2), 0.0, 179.9), ("lone", dt.date(1990, 1, 1), 0.0, 0.0)]
+    for km in (800.0, 3000.0):
+        want = _kruskal(rows, km)
+        assert _forest(spark, rows, km) == want and _forest(spark, rows, km, block=30) == want
+    assert _forest(spark, [r for r in rows if r[0] == "lone"], 3000.0) == [] and _forest(spark, [], 3000.0) == []
+
+
+def test_spanning_forest_goes_on_over_batches(spark):
+    rows = [(f"{d:05d}-{i}", dt.date(1950, 1, 1) + dt.timedelta(d), 10.0, float(i * i)) for d in range(3400) for i in range(4)]
+    one = spark.createDataFrame(rows, _POINTS)
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        f = proximity.day_forest(one, 3000.0).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+    assert len(f) == 3 * 3400 and all(r["a"][:5] == r["b"][:5] for r in f)
+
+
 def test_near_pairs_at_poles_and_date_line(spark):
     a = spark.createDataFrame([("x", 89.9, 0.0), ("y", 0.0, 179.9)], "id string, lat double, lon double")
     b = spark.createDataFrame([("p", 89.9, 180.0), ("q", 0.0, -179.9), ("r", 10.0, 0.0)], "id string, lat double, lon double")
